@@ -27,21 +27,32 @@ KINDS = ("assign", "access", "hex", "opaque", "endpoint")
 _BLOCK = 256
 
 
+_NONE = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where a lambda uses it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _sums(xs: Column) -> Column:
+    return F.aggregate(
+        xs,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
+        lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["all"], a["at"] + x).alias("all")),
+        lambda a: a["all"],
+    )
+
+
 def _running(lengths: Column) -> Column:
     """Inclusive prefix sums of an array, by blocks: linear in its size but for a small square."""
 
-    def sums(xs: Column) -> Column:
-        return F.aggregate(
-            xs,
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-            lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["all"], a["at"] + x).alias("all")),
-            lambda a: a["all"],
-        )
+    def over(blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), _sums(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return _let(before, lambda z: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.get(z, i)))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: sums(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-    ends = F.transform(blocks, lambda b: F.element_at(b, -1))
-    before = F.concat(F.array(F.lit(0).cast("long")), sums(ends))
-    return F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.get(before, i))))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
+    return _let(F.transform(numbers, lambda b: _sums(F.slice(lengths, b * _BLOCK + 1, _BLOCK))), over)
 
 
 def spans(text: Column, pattern: str, kind: str, value_chars: int = 0) -> Column:
@@ -50,16 +61,23 @@ def spans(text: Column, pattern: str, kind: str, value_chars: int = 0) -> Column
     The text is split at the matches; the lengths of what is between them and of
     the matches add up to the positions. ``value_chars``: least length of group 2.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    lengths = F.flatten(F.transform(matches, lambda m, i: F.array(F.char_length(F.get(between, i)).cast("long"), F.char_length(m).cast("long"))))
-    at = _running(lengths)
-    out = F.transform(matches, lambda m, i: F.struct(F.get(at, i * 2).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), F.get(at, i * 2 + 1).alias("end")))
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern).alias("between")]
     if value_chars:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        out = F.filter(out, lambda s, i: F.char_length(F.get(values, i)) >= value_chars)
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return F.when(F.size(matches) > 0, out).otherwise(none)
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("values"))
+
+    def positions(z: Column) -> Column:
+        lengths = F.flatten(
+            F.transform(z["matches"], lambda m, i: F.array(F.char_length(F.get(z["between"], i)).cast("long"), F.char_length(m).cast("long")))
+        )
+        return _let(_let(lengths, _running), lambda at: spots(z, at))
+
+    def spots(z: Column, at: Column) -> Column:
+        out = F.transform(
+            z["matches"], lambda m, i: F.struct(F.get(at, i * 2).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), F.get(at, i * 2 + 1).alias("end"))
+        )
+        return F.filter(out, lambda s, i: F.char_length(F.get(z["values"], i)) >= value_chars) if value_chars else out
+
+    return F.when(text.rlike(pattern), _let(F.struct(*parts), positions)).otherwise(F.array().cast(_NONE))
 
 
 def joined(all_spans: Column) -> Column:
@@ -92,7 +110,7 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
         spans(text, ACCESS, "access").alias("access"),
         spans(text, HEX, "hex").alias("hex"),
     )
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    none = F.array().cast(_NONE)
     strong = F.concat("assign", "access", "hex")
     weak = F.filter(
         F.concat(spans(F.col("text"), OPAQUE, "opaque"), spans(F.col("text"), ENDPOINT, "endpoint")),
