@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from citeloom.llm import exact_dedup, mixing, packing, secrets
+from citeloom.llm import exact_dedup, jaccard_join, mixing, packing, secrets
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
