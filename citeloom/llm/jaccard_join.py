@@ -299,9 +299,12 @@ def _tree_links(met: DataFrame, nodes: DataFrame, stars: DataFrame, sets: DataFr
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the component's."""
-    found = jaccard_components(docs, k=k, threshold=threshold)
-    gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "near")
+    """``docs`` with one document of each component: the one whose id is the component's.
+
+    Rows with a null id stay; of an id that repeats, all rows stay or go together.
+    """
+    found = jaccard_components(docs, k=k, threshold=threshold).where("doc_id is not null")
+    gone = stage(found.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select("doc_id"), "near")
     return docs.join(small(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeloom.llm._common import SPACE, stage, text_of
+from citeloom.llm._common import SPACE, small, stage, text_of
 
 #: Weights of the sources by code point, repeated (the contract's).
 WEIGHTS = (3, 1, 2)
@@ -123,6 +123,27 @@ def _crossed(offset: Column) -> Column:
     return (F.floor(offset + (F.col("rank") + 1) * F.col("rate")) - F.floor(offset + F.col("rank") * F.col("rate"))).cast("long")
 
 
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it, all columns as they are.
+
+    Rows of one id, source and text are taken as one row that has all their copies.
+    """
+    mixed = mix(docs, **options)
+    taken = stage(
+        mixed.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).where("mix_copies > 0"), "taken"
+    )
+    size = taken.agg(F.count(F.lit(1)).alias("n"), F.max("mix_rows").alias("most")).first()
+    if (size["most"] or 0) > 1:
+        docs = docs.dropDuplicates(["doc_id", "source", "text"])
+    taken = small(taken.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "text_hash", "mix_copies"), size["n"], 80)
+    same = (
+        docs["doc_id"].cast("long").eqNullSafe(taken["mix_id"])
+        & docs["source"].cast("string").eqNullSafe(taken["mix_source"])
+        & (F.xxhash64(text_of(docs)) == taken["text_hash"])
+    )
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["mix_copies"].cast("int"))).alias("mix_copy")).drop("mix_copy")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

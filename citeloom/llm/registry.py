@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from citeloom.llm import exact_dedup, jaccard_join, mixing, packing, secrets
+from citeloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing, secrets, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL = {

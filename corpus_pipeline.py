@@ -1,24 +1,63 @@
-"""Training-data pipeline over ``documents``."""
+"""Training-data pipeline over ``documents``: language, copies, near copies, mix, sequences.
+
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next one's ``docs``. All but the last keep the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citeloom.llm import exact_dedup
+from citeloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from citeloom.llm._common import stage
 
+#: A document is rejected below this share of its best language.
+LEAST_SURE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without letters or of no sure language go."""
+    found = language_id.classify(docs, language_id.train(docs, F.lit(True)))
+    sure = (F.col("lid_lang") != language_id.UNDETERMINED) & (F.col("lid_score") >= LEAST_SURE)
+    return found.where(sure).select(*docs.columns)
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each exact text."""
     return exact_dedup.keep_first(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets at a similarity of 0.8."""
+    return jaccard_join.keep_one(docs, k=5, threshold=0.8)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeat(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack),
+]
 
+#: Language ID and the tokenizer can't be told in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
+    for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
