@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from citeloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing, secrets, toxicity
+from citeloom.llm import (
+    exact_dedup,
+    hamming_search,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    packing,
+    secrets,
+    toxicity,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,9 +21,12 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op8_hamming_search": hamming_search.op8_hamming_search,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op8_hamming_search": hamming_search.OP8_SQL,
 }
