@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from citeloom.plans import coverage  # noqa: F401
-
-
+    from citeloom.plans import coverage, lookups  # noqa: F401
