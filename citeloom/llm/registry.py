@@ -10,6 +10,7 @@ from citeloom.llm import (
     line_dedup,
     mixing,
     packing,
+    passages,
     secrets,
     toxicity,
 )
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op7_compact_windows": passages.op7_compact_windows,
     "op8_hamming_search": hamming_search.op8_hamming_search,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
