@@ -209,7 +209,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
        stars, whatever their number.
     3. What shares a pivot's keys but is not in its component yet is searched in
        R-trees over the count vectors of the pivot's block, ``TREE_POINTS`` points
-       to a tree; pairs that pass the bound are verified on the sets. Only links
+       to a tree and as many queries at a time; pairs that pass the bound are verified on the sets. Only links
        between different components are emitted. So no link that would join
        components is lost, and no group's pairs are all made.
 
@@ -287,15 +287,22 @@ def _tree_links(met: DataFrame, nodes: DataFrame, stars: DataFrame, sets: DataFr
     comp = nodes.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     members = met.select("doc_id", "pivot").union(met.select(F.col("pivot").alias("doc_id"), "pivot").distinct()).join(comp, "doc_id")
     members = stage(members.join(comp.select(F.col("doc_id").alias("pivot"), F.col("comp").alias("home")), "pivot"), "members")
-    blocks = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("comp") != F.col("home")).alias("open")).where("open")
-    blocks = stage(blocks.select("pivot", F.ceil(F.col("size") / TREE_POINTS).cast("int").alias("trees")), "blocks")
-    rows = members.join(small(blocks, blocks.count(), 24), "pivot").withColumn("home_tree", F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int"))
     astray = F.col("comp") != F.col("home")
-    placed = rows.select(
-        "doc_id", "pivot", "comp", astray.alias("is_query"), "home_tree",
-        F.explode(F.when(astray, F.sequence(F.lit(0), F.col("trees") - 1)).otherwise(F.array("home_tree"))).alias("tree"),
-    ).withColumn("is_point", F.col("tree") == F.col("home_tree"))
-    return placed.join(sets, "doc_id").select("pivot", "tree", "comp", "is_query", "is_point", "sh").groupBy("pivot", "tree").applyInPandas(_links(threshold), "a long, b long").distinct()
+    blocks = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count_if(astray).alias("queries")).where("queries > 0")
+    parts = lambda n: F.ceil(F.col(n) / TREE_POINTS).cast("int")
+    blocks = stage(blocks.select("pivot", parts("size").alias("trees"), parts("queries").alias("turns")), "blocks")
+    rows = members.join(small(blocks, blocks.count(), 24), "pivot").select(
+        "doc_id", "pivot", "comp", astray.alias("astray"), "trees", "turns",
+        F.pmod(F.xxhash64("doc_id"), F.col("trees")).cast("int").alias("tree"),
+        F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("turns")).cast("int").alias("turn"),
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    flags = lambda point: [F.lit(point).alias("is_point"), F.lit(not point).alias("is_query")]
+    points = rows.select("doc_id", "pivot", "comp", "tree", every("turns").alias("turn"), *flags(True))
+    queries = rows.where("astray").select("doc_id", "pivot", "comp", every("trees").alias("tree"), "turn", *flags(False))
+    placed = points.union(queries)
+    cells = placed.join(sets, "doc_id").select("pivot", "tree", "turn", "comp", "is_query", "is_point", "sh").groupBy("pivot", "tree", "turn")
+    return cells.applyInPandas(_links(threshold), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> DataFrame:
