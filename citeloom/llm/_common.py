@@ -50,14 +50,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_written)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Delete the tables staged since ``mark()`` but those that ``keep`` read; their results are staged by now."""
+    kept = [p.rpartition("/")[0].rpartition("/")[2] for df in keep for p in df.inputFiles()[:1]]
+    for spark, path in [x for x in _written[since:] if x[1].rpartition("/")[2] not in kept]:
+        _written.remove((spark, path))
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_staged() -> None:
     """Delete the tables that ``stage`` has written."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
 

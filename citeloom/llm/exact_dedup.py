@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm._common import SPACE, located, new_path, small, stage, text_of
+from citeloom.llm._common import SPACE, located, mark, new_path, release, small, stage, text_of
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -142,11 +142,13 @@ def _by_bytes(found: DataFrame, differ: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``deduplicate`` drops; all columns stay."""
+    if not _is_file_backed(docs):
+        docs = stage(docs, "docs")
+    since = mark()
+    dropped = stage(deduplicate(docs).where("not kept").select(F.col("at_file").alias("gone_file"), F.col("at_row").alias("gone_row")), "dropped")
+    release(since, dropped)
+    dropped = small(dropped, dropped.count(), 200)
     rows = located(docs, *docs.columns)
-    dropped = stage(deduplicate(docs).where("not kept").select("at_file", "at_row"), "dropped") if _is_file_backed(docs) else None
-    if dropped is None:
-        return keep_first(stage(docs, "docs"))
-    dropped = small(dropped.withColumnsRenamed({"at_file": "gone_file", "at_row": "gone_row"}), dropped.count(), 200)
     rest = rows.join(dropped, (F.col("at_file") == F.col("gone_file")) & (F.col("at_row") == F.col("gone_row")), "left_anti")
     return rest.select(*docs.columns)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm._common import connected_components, small, stage
+from citeloom.llm._common import connected_components, mark, release, small, stage
 
 #: Groups of a count vector, points of a tree node, and points of a tree.
 GROUPS, FANOUT, TREE_POINTS = 32, 8, 512
@@ -168,8 +168,8 @@ def _links(threshold: float):
     return search
 
 
-def _sets(docs: DataFrame, k: int, threshold: float, *, full: bool) -> DataFrame:
-    """``doc_id, n, h1, h2`` and, of each text, its shingles (full) or its group keys."""
+def _sets(docs: DataFrame, k: int, threshold: float, what: str) -> DataFrame:
+    """``doc_id, n, h1, h2`` and, as ``sh``, each text's ``shingles``, its group ``keys``, or nothing (``digests``)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = size_tops(threshold, 1 << 16)
@@ -183,7 +183,7 @@ def _sets(docs: DataFrame, k: int, threshold: float, *, full: bool) -> DataFrame
                 n.append(len(h))
                 h1.append(int(h.sum(dtype=np.uint64).astype(np.int64)))
                 h2.append(int(_mixed(h + _ODD[1]).sum(dtype=np.uint64).astype(np.int64)))
-                arrays.append((h if full else group_keys(h, threshold, tops)).view(np.int64))
+                arrays.append((h if what == "shingles" else group_keys(h, threshold, tops) if what == "keys" else h[:0]).view(np.int64))
             offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
             values = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -219,17 +219,16 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
     give no rows. Other columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stage(_sets(own, k, threshold, full=False), "sets")
+    rows = stage(_sets(own, k, threshold, "digests").drop("sh"), "sets")
+    since = mark()
     classes = stage(
         rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes"
     )
     reps = classes.select("n", "h1", "h2", "rep")
-    keyed = rows.where("size(sh) > 0").join(
-        reps.withColumnsRenamed({"n": "rn", "h1": "r1", "h2": "r2"}),
-        (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")),
-        "left_semi",
-    ).select("doc_id", F.explode("sh").alias("key"))
-    keyed = stage(keyed, "keys")
+    copies = stage(classes.where("copies > 1").select("n", "h1", "h2", "rep"), "copies")
+    # made twice rather than written: the keys are the largest of all tables
+    keyed = _sets(own, k, threshold, "keys").where("size(sh) > 0 and doc_id is not null").join(small(copies, copies.count(), 48), ["n", "h1", "h2"], "left")
+    keyed = keyed.where("rep is null or rep = doc_id").select("doc_id", F.explode("sh").alias("key"))
     pivots = stage(keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot"), "pivots")
     met = stage(
         keyed.join(small(pivots, pivots.count(), 24), "key").where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("shared")), "met"
@@ -252,6 +251,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
     else:
         classes = classes.withColumn("component", F.col("rep"))
     moved = stage(classes.where("copies > 1 or component <> rep").select("n", "h1", "h2", "component"), "moved")
+    release(since, moved)
     return bare.join(small(moved, moved.count(), 48), ["n", "h1", "h2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -262,7 +262,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
 def _candidate_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, reps: DataFrame, k: int, threshold: float) -> DataFrame:
     """Shingle sets of the representatives that share a key with another."""
     texts = docs.join(small(nodes, n_nodes, 16), "doc_id", "left_semi")
-    sets = _sets(texts, k, threshold, full=True)
+    sets = _sets(texts, k, threshold, "shingles")
     return stage(
         sets.join(
             reps.withColumnsRenamed({"n": "rn", "h1": "r1", "h2": "r2"}),
