@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from citeloom.plans import coverage, lookups  # noqa: F401
+    from citeloom.plans import coverage, lookups, rules  # noqa: F401
