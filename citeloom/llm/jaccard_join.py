@@ -85,7 +85,8 @@ def group_keys(h: np.ndarray, threshold: float, tops: np.ndarray) -> np.ndarray:
 
 
 def counts(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Group counts of a set: the point of it in the tree."""
+    return np.bincount(h.astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
 
 
 class CountTree:
@@ -141,7 +142,7 @@ def _links(threshold: float):
     ratio = threshold / (1 + threshold)
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x).view(np.uint64) for x in rows["sh"]]
+        sets = [np.asarray(x, np.int32) for x in rows["sh"]]
         points = np.stack([counts(x) for x in sets])
         sizes = np.asarray([len(x) for x in sets])
         comp, out = rows["comp"].to_numpy(), []
@@ -159,7 +160,7 @@ def _links(threshold: float):
                 a, b = top(int(comp[q])), top(int(comp[p]))
                 if a == b:
                     continue
-                both = len(np.intersect1d(sets[q], sets[p], assume_unique=True))
+                both = len(np.intersect1d(sets[q], sets[p]))
                 if both >= threshold * (sizes[q] + sizes[p] - both) - 1e-9:
                     up[max(a, b)] = min(a, b)
                     out.append((max(a, b), min(a, b)))
@@ -237,7 +238,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
     n_nodes = nodes.count()
     bare = rows.select("doc_id", "n", "h1", "h2")
     if n_nodes:
-        sets = _candidate_sets(own, nodes, n_nodes, reps, k, threshold)
+        sets = _candidate_sets(own, rows, nodes, n_nodes, reps, k, threshold)
         linked = _star_links(met, sets, threshold)
         stars = stage(connected_components(linked), "stars")
         more = stage(_tree_links(met, nodes, stars, sets, threshold), "more")
@@ -259,20 +260,17 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
     )
 
 
-def _candidate_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, reps: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Shingle sets of the representatives that share a key with another."""
+def _candidate_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n_nodes: int, reps: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Shingle sets, by the high halves of their hashes, of the representatives that share a key with another.
+
+    Only where an id repeats are its texts told apart by their digests.
+    """
     texts = docs.join(small(nodes, n_nodes, 16), "doc_id", "left_semi")
-    sets = _sets(texts, k, threshold, "shingles")
-    return stage(
-        sets.join(
-            reps.withColumnsRenamed({"n": "rn", "h1": "r1", "h2": "r2"}),
-            (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")),
-            "left_semi",
-        )
-        .groupBy("doc_id")
-        .agg(F.max("sh").alias("sh")),
-        "candidates",
-    )
+    sets = _sets(texts, k, threshold, "shingles").withColumn("sh", F.expr("array_distinct(transform(sh, x -> cast(shiftright(x, 32) as int)))"))
+    if rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count():
+        same = reps.select(F.col("rep").alias("doc_id"), "n", "h1", "h2")
+        sets = sets.join(same, ["doc_id", "n", "h1", "h2"], "left_semi").groupBy("doc_id").agg(F.max("sh").alias("sh"))
+    return stage(sets.select("doc_id", "sh"), "candidates")
 
 
 def _star_links(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
