@@ -66,8 +66,10 @@ def group_keys(h: np.ndarray, threshold: float, tops: np.ndarray) -> np.ndarray:
 
     Linked sets of sizes a and b differ in at most (a + b)(1 - t)/(1 + t)
     shingles. At a level (two neighbouring size classes) this is at most K, so of
-    K + 1 groups of shingles one is the same in both; a key is the hash of level,
-    group and the group's content.
+    K + 1 + s groups of shingles 1 + s are the same in both; a key is the hash of
+    level, group and the group's content. Empty groups give keys only to sets that
+    have more than s of them: if either set has no more, one of the same groups
+    holds shingles, and else both sets have the empty groups' keys.
     """
     n, own = len(h), int(np.searchsorted(tops, len(h)))
     keys = []
@@ -75,12 +77,15 @@ def group_keys(h: np.ndarray, threshold: float, tops: np.ndarray) -> np.ndarray:
         apart = int(2 * tops[level] * (1 - threshold) / (1 + threshold) + 1e-9)
         if apart < 1 or n == 0:
             continue
-        groups = np.uint64(apart + 1)
-        first = np.searchsorted(((h >> np.uint64(32)) * groups) >> np.uint64(32), np.arange(apart + 1, dtype=np.uint64))
+        spare = max(1, -(-(apart + 1) // 12))
+        n_groups = apart + 1 + spare
+        first = np.searchsorted(((h >> np.uint64(32)) * np.uint64(n_groups)) >> np.uint64(32), np.arange(n_groups, dtype=np.uint64))
+        ends = np.append(first[1:], n)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(h + np.uint64(level)), dtype=np.uint64)])
-        content = sums[np.append(first[1:], n)] - sums[first]
-        tag = np.uint64(level) * np.uint64(1 << 32) + np.arange(apart + 1, dtype=np.uint64)
-        keys.append(_mixed(content * _ODD[0] + _mixed(tag)))
+        tag = np.uint64(level) * np.uint64(1 << 32) + np.arange(n_groups, dtype=np.uint64)
+        own_keys = _mixed((sums[ends] - sums[first]) * _ODD[0] + _mixed(tag))
+        held = ends > first
+        keys.append(own_keys[held] if (~held).sum() <= spare else own_keys)
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
