@@ -1,4 +1,4 @@
-"""Line deduplication by winnowing over line hashes (native)."""
+"""Line deduplication by fingerprints of runs of lines, with windows counted in code points (native)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from citeloom.llm._common import SPACE, small, stage, text_of
 
-#: Lines of a winnowing window: a repeated run of this many lines is sure to be found.
-WINDOW_LINES = 3
 #: Least code points (white space folded) that a repeated run must have to be deleted.
 RUN_CHARS = 40
 
@@ -21,68 +19,86 @@ def folded(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, SPACE, " "))
 
 
-def fingerprints(hashes: Column, window: int) -> Column:
-    """Positions (from 0) of window minima; of equal minima the last. Shorter texts are one window."""
-    n = F.size(hashes)
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    least = lambda s: F.array_min(
-        F.transform(F.slice(hashes, s + 1, window), lambda h, i: F.struct(h.alias("h"), (-(s + i)).alias("p")))
-    )
-    return F.array_distinct(F.transform(starts, lambda s: -least(s)["p"]))
+def passages(full: Column, n_lines: Column, run_chars: int) -> Column:
+    """Least runs of at least ``run_chars`` code points from every line onwards and from every line back.
+
+    ``full``: (at, h, n), position, hash and code points of the lines that aren't
+    blank, in order. Returns (at, upto, print): a run's lines, blank ones in it
+    included, and the hash of its content. A run has at most ``run_chars`` lines
+    that aren't blank.
+    """
+    least, zero = F.lit(run_chars), F.lit(0)
+
+    def steps(some: Column) -> Column:
+        return F.aggregate(
+            some,
+            F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n")),
+            lambda a, x: F.when(a["chars"] >= least, a).otherwise(F.struct((a["chars"] + x["n"]).alias("chars"), (a["n"] + 1).alias("n"))),
+            lambda a: F.when(a["chars"] >= least, a["n"]),
+        )
+
+    def run(first: Column, n: Column, before: Column, after: Column) -> Column:
+        """The run of ``n`` lines that aren't blank, alone and with 1 to ``before`` (``after``) blank lines beside it."""
+        inside = F.slice(full, first + 1, n)
+        start, end = F.get(full, first)["at"], F.get(full, first + n - 1)["at"] + 1
+        content = F.xxhash64(F.transform(inside, lambda x: F.struct(x["h"], x["at"] - F.get(inside, 0)["at"])))
+        one = F.struct(start.alias("at"), end.alias("upto"), content.alias("print"))
+
+        def beside(o: Column, c: Column) -> Column:
+            content = F.when(c == 0, o["print"]).otherwise(F.xxhash64(o["print"], c))
+            return F.struct((o["at"] - F.greatest(c, zero)).alias("at"), (o["upto"] - F.least(c, zero)).alias("upto"), content.alias("print"))
+
+        return F.get(F.transform(F.array(one), lambda o: F.transform(F.sequence(-after, before), lambda c: beside(o, c))), 0)
+
+    nothing = F.array().cast("array<struct<at:int,upto:int,print:bigint>>")
 
+    def runs(line: Column, k: Column) -> Column:
+        before = F.when(k > 0, line["at"] - F.get(full, k - 1)["at"] - 1).otherwise(line["at"])
+        after = F.when(k + 1 < F.size(full), F.get(full, k + 1)["at"]).otherwise(n_lines) - line["at"] - 1
+        low = F.greatest(k - run_chars + 1, zero)
+        onwards = steps(F.slice(full, k + 1, run_chars))
+        back = steps(F.reverse(F.slice(full, low + 1, k - low + 1)))
+        both = lambda n, part: F.coalesce(F.get(F.transform(F.array(n), lambda m: F.when(m.isNotNull(), part(m))), 0), nothing)
+        return F.when(line["n"] >= least, run(k, F.lit(1), before, after)).otherwise(
+            F.concat(both(onwards, lambda m: run(k, m, before, zero)), both(back, lambda m: run(k - m + 1, m, zero, after)))
+        )
 
-def repeated_runs(docs: DataFrame, *, window: int = WINDOW_LINES, run_chars: int = RUN_CHARS) -> DataFrame:
-    """Runs of lines that an earlier row has too.
+    return F.flatten(F.transform(full, runs))
+
+
+def repeated_runs(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
+    """Runs of lines that an earlier row, or an earlier place, has too.
 
     Returns ``row_key, at, upto, first_id, first_at``: lines ``at`` to ``upto``
     (exclusive, from 0) of the row repeat those from ``first_at`` of the row with
     id ``first_id``. A row's key is (doc_id, hash of its text).
 
-    Every row gives the positions of its windows' minima. For a fingerprint the
-    least (doc_id, text hash, position) is the origin; other positions join it,
-    and the match is extended both ways over the two rows' line hashes. A row's
-    positions on one diagonal against one origin are extended once. No pairs are
-    made within a fingerprint, whatever its frequency.
+    A window is counted in code points: from every line, onwards and back, the
+    least run of ``run_chars`` code points gives a fingerprint of its whole
+    content. Every line of any longer repeated run lies in such a run that is
+    inside it, so nothing is extended, and a short line never stands for a run.
+    For a fingerprint the least (doc_id, text hash, position) is the origin, and
+    the other places are repeats; no pairs are made, whatever its frequency.
     """
     text = text_of(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), lines(text).alias("parts"))
+    each = F.transform(F.transform("parts", folded), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.length(x).alias("n")))
     hashed = rows.select(
-        "doc_id",
-        "text_hash",
-        F.transform("parts", lambda x: F.xxhash64(folded(x))).alias("hashes"),
-        F.transform("parts", lambda x: F.length(folded(x))).alias("sizes"),
-    ).withColumn("key", F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash")))
-    hashed = stage(hashed.select("key", "hashes", "sizes").dropDuplicates(["key"]), "lines")
-    marks = hashed.select("key", "hashes", "sizes", F.explode(fingerprints(F.col("hashes"), window)).alias("at")).where(F.get("sizes", F.col("at")) > 0)
-    marks = stage(marks.select("key", "at", F.get("hashes", F.col("at")).alias("print")), "marks")
-    origins = marks.groupBy("print").agg(F.min(F.struct("key", "at")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "origin")
-    origins = stage(origins, "origins")
-    joined = marks.join(small(origins, origins.count(), 64), "print").select("key", "at", F.col("origin.key").alias("first"), F.col("origin.at").alias("first_at"))
-    joined = joined.where((F.col("key") != F.col("first")) | (F.col("at") > F.col("first_at")))
-    diagonals = joined.groupBy("key", "first", (F.col("at") - F.col("first_at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("seeds"))
-    theirs = hashed.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes"))
-    both = diagonals.join(hashed, "key").join(theirs, "first")
-    at = F.sequence(F.lit(0), F.size("hashes") - 1)
-    same = F.transform(at, lambda i: (i >= F.col("shift")) & F.get("hashes", i).eqNullSafe(F.get("first_hashes", i - F.col("shift"))))
-    # maximal stretches of equal lines that hold a seed
-    breaks = F.concat(F.array(F.lit(-1)), F.filter(F.transform("same", lambda s, i: F.when(~s, i)), lambda i: i.isNotNull()), F.array(F.size("same")))
-    both = both.withColumn("same", same).withColumn("breaks", breaks)
-    runs = both.withColumn(
-        "run",
-        F.explode(
-            F.filter(
-                F.transform(F.slice("breaks", F.lit(1), F.size("breaks") - 1), lambda b, i: F.struct((b + 1).alias("at"), F.get("breaks", i + 1).alias("upto"))),
-                lambda r: (r["upto"] > r["at"]) & F.exists("seeds", lambda s: (s >= r["at"]) & (s < r["upto"])),
-            )
-        ),
-    )
-    chars = F.aggregate(F.slice("sizes", F.col("run.at") + 1, F.col("run.upto") - F.col("run.at")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return runs.where(chars >= run_chars).select(
-        F.col("key").alias("row_key"), "run.at", "run.upto", F.col("first.id").alias("first_id"), (F.col("run.at") - F.col("shift")).alias("first_at")
+        F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash")).alias("key"),
+        F.size("parts").alias("n_lines"),
+        F.filter(each, lambda x: x["n"] > 0).alias("full"),
     )
+    hashed = stage(hashed.dropDuplicates(["key"]), "lines")
+    marks = hashed.select("key", F.explode(passages(F.col("full"), F.col("n_lines"), run_chars)).alias("run"))
+    marks = stage(marks.select("key", "run.at", "run.upto", "run.print"), "marks")
+    origins = marks.groupBy("print").agg(F.min(F.struct("key", "at", "upto")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "origin")
+    origins = stage(origins, "origins")
+    joined = marks.join(small(origins, origins.count(), 64), "print")
+    joined = joined.where((F.col("key") != F.col("origin.key")) | (F.col("at") != F.col("origin.at")))
+    return joined.select(F.col("key").alias("row_key"), "at", "upto", F.col("origin.key.id").alias("first_id"), F.col("origin.at").alias("first_at"))
 
 
-def drop_repeats(docs: DataFrame, *, window: int = WINDOW_LINES, run_chars: int = RUN_CHARS) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     """Texts without the runs of lines that an earlier row, or an earlier place, has.
 
     Returns ``doc_id, text_hash, n_lines, dropped`` (sorted positions of deleted
@@ -94,7 +110,7 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW_LINES, run_chars: int
     Rows of one id and text are one row to the operator, so repeated rows have
     the same result. Null text counts as empty. No rows give no rows.
     """
-    runs = repeated_runs(docs, window=window, run_chars=run_chars)
+    runs = repeated_runs(docs, run_chars=run_chars)
     gone = runs.select("row_key", "first_id", F.explode(F.sequence(F.col("at"), F.col("upto") - 1)).alias("line")).groupBy("row_key").agg(
         F.sort_array(F.collect_set("line")).alias("lines_gone"), F.sort_array(F.collect_set("first_id")).alias("ids")
     )

@@ -50,3 +50,28 @@ def test_long_repeated_runs_go_and_the_first_stays(spark):
         else:
             assert not r.dropped
     assert drop_repeats(docs.limit(0)).collect() == []
+
+
+def test_repeats_equal_brute_force_with_blank_one_line_and_common_lines(spark):
+    rng = random.Random(12)
+    pool = [f"{c} a line that is long enough to be a run by itself" for c in "abcdef"] + [f"{c} some twenty chars {c}" for c in "ghij"] + ["}", "- x", "end"] + [""] * 4 + [" "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    # a common line first stands elsewhere; paragraphs parted by blank lines; a tail that the first copy lacks
+    para = [f"paragraph {i} of words that stand in two documents" for i in range(4)]
+    rows += [(100, "}\nother 1"), (101, "one short\n}\nthen more words of it\n"), (102, "x1\none short\n}\nthen more words of it\n")]
+    rows += [(103, "\n\n".join(para)), (104, "new\n\n" + "\n\n".join(para) + "\n\n\n"), (105, para[2]), (106, "\n" * 50 + para[3] + "\n" * 50), (107, "\n" * 40 + para[3] + "\n" * 60)]
+    fold = lambda t: [" ".join(x.split()) for x in t.split("\n")]
+    texts = [(i, fold(t)) for i, t in sorted(rows)]
+    runs_of = lambda x: [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(map(len, x[a:b])) >= 40]
+    seen, want = set(), {}
+    for i, x in texts:
+        gone = set()
+        for a, b in runs_of(x):
+            if tuple(x[a:b]) in seen:
+                gone |= set(range(a, b))
+            seen.add(tuple(x[a:b]))
+        want[i] = sorted(gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: list(r.dropped) for r in drop_repeats(docs).collect()}
+    assert got == want
+    assert want[104] and want[105] == [0] and len(want[107]) == 91
