@@ -46,6 +46,36 @@ def missing_extra_samples(spark, sf_dir):
     return sides.withColumn("n", F.row_number().over(Window.partitionBy("side").orderBy("id"))).where("n <= 10").select("side", "id")
 
 
+SQL_SIDES_ALL = "WITH s AS (SELECT coalesce(w.id, h.id) AS id, w.id AS w, h.id AS h FROM (SELECT DISTINCT o_custkey AS id FROM orders) w FULL JOIN (SELECT c_custkey AS id FROM customer) h ON w.id = h.id) "
+
+
+def _sides_all(spark, sf_dir):
+    want = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().withColumn("w", F.lit(1))
+    return want.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).withColumn("h", F.lit(1)), "id", "full_outer")
+
+
+@query(
+    "disposition_join_all",
+    "SELECT o_orderkey AS pair, CASE WHEN c_custkey IS NULL THEN 'excluded_preband_disposition_missing' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'admitted' ELSE 'excluded_preband' END AS disposition FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+)
+def disposition_join_all(spark, sf_dir):
+    """``disposition_join`` over every customer; who is missing comes from the tables."""
+    label = first_match([(F.col("c_custkey").isNull(), "excluded_preband_disposition_missing"), (F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "admitted")], "excluded_preband")
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("pair"), label.alias("disposition"))
+
+
+@query("join_accounting_all", SQL_SIDES_ALL + "SELECT count_if(w IS NOT NULL AND h IS NOT NULL) AS matched, count_if(h IS NULL) AS missing, count_if(w IS NULL) AS extra, count_if(w IS NOT NULL AND h IS NOT NULL) / count(w) AS coverage FROM s")
+def join_accounting_all(spark, sf_dir):
+    matched = F.count_if(F.col("w").isNotNull() & F.col("h").isNotNull())
+    return _sides_all(spark, sf_dir).agg(matched.alias("matched"), F.count_if(F.col("h").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("extra"), (matched / F.count("w")).alias("coverage"))
+
+
+@query("missing_extra_all", SQL_SIDES_ALL + "SELECT CASE WHEN h IS NULL THEN 'missing' ELSE 'extra' END AS side, id FROM s WHERE w IS NULL OR h IS NULL")
+def missing_extra_all(spark, sf_dir):
+    """Every id that one side lacks."""
+    return _sides_all(spark, sf_dir).where("w is null or h is null").select(F.when(F.col("h").isNull(), "missing").otherwise("extra").alias("side"), "id")
+
+
 @query(
     "queue_audit",
     "SELECT CASE WHEN q.id IS NULL THEN 'not_queued' ELSE 'not_predicted' END AS fault, count(*) AS n FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F') q FULL JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linestatus = 'O') p ON q.id = p.id WHERE q.id IS NULL OR p.id IS NULL GROUP BY 1",
@@ -360,6 +390,16 @@ def study_clusters(spark, sf_dir):
     return min_label(rows.select("id").distinct(), edges).select("id", F.col("label").alias("cluster"))
 
 
+@query("study_clusters_all")
+def study_clusters_all(spark, sf_dir):
+    """The clusters of ``study_clusters`` over every line, without its rule on quantity and discount; too slow as recursive SQL."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(F.col("l_partkey").alias("id"), "o_custkey").distinct()
+    hub = rows.groupBy("o_custkey").agg(F.min("id").alias("hub"))
+    edges = rows.join(hub, "o_custkey").select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    return min_label(rows.select("id").distinct(), edges).select("id", F.col("label").alias("cluster"))
+
+
 @query("inverted_abstract", "SELECT item_id, array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 20000), ' ') AS abstract FROM benchmark")
 def inverted_abstract(spark, sf_dir):
     """Text from a word's positions, all or nothing over 20 000 words."""
