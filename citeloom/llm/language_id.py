@@ -19,6 +19,8 @@ GRAMS, SPACE_BITS = (1, 2, 3), 15
 ROWS_PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 400, 200, 256, 1e-2
 #: Code points that are hashed at once, and rows of a presence matrix.
 CHUNK, BLOCK = 1 << 20, 128
+#: Code points of a part of a long text: the presence of a longer one would fill the hash space.
+PART = 1 << 16
 
 UNDETERMINED = "und"
 _SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -40,27 +42,41 @@ def mark(presence: np.ndarray, text: str) -> None:
                 presence[h >> np.uint32(32 - SPACE_BITS)] = 1
 
 
+def parts(text: str) -> list[str]:
+    """The whole text in parts of about equal length, at most ``PART`` code points; overlapping, so that no n-gram is lost."""
+    n = max(1, -(-len(text) // PART))
+    edges = [len(text) * i // n for i in range(n + 1)]
+    return [text[a : b + max(GRAMS) - 1] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 @dataclass
 class Model:
     """One-versus-rest ridge regressors on Nyström features.
 
     A score is K(x, landmarks) · A with the kernel normalised by the numbers of
     present n-grams; ``weights`` is landmarks' presence times A, so a batch is
-    scored by one product of its presence matrix.
+    scored by one product of its presence matrix. A long text's scores are the
+    mean of its parts'. ``letters``: those of the learned rows, lower-cased.
     """
 
     languages: list[str]
     weights: np.ndarray
+    letters: frozenset[str] = frozenset()
+
+    def knows(self, text: str) -> bool:
+        """Some letter of the text is one of a learned language."""
+        return any(x in self.letters for x in set(text.lower()))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
-        for at in range(0, len(texts), BLOCK):
-            part = texts[at : at + BLOCK]
-            presence = np.zeros((len(part), 1 << SPACE_BITS), np.float32)
-            for row, text in zip(presence, part, strict=True):
-                mark(row, text)
-            out[at : at + len(part)] = presence @ self.weights / np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
-        return out
+        every = [(i, part) for i, text in enumerate(texts) for part in parts(text)]
+        for at in range(0, len(every), BLOCK):
+            some = every[at : at + BLOCK]
+            presence = np.zeros((len(some), 1 << SPACE_BITS), np.float32)
+            for row, (_, part) in zip(presence, some, strict=True):
+                mark(row, part)
+            np.add.at(out, [i for i, _ in some], presence @ self.weights / np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1)))
+        return out / np.bincount([i for i, _ in every], minlength=len(texts))[:, None]
 
 
 def learn(languages: list[str], presence: np.ndarray) -> Model:
@@ -89,7 +105,8 @@ def train(docs: DataFrame, learnable: Column, *, per_language: int = ROWS_PER_LA
     """Fit to at most ``per_language`` learnable rows of each language.
 
     The rows are those with the least hash of their text, among whole texts; a
-    count by language narrows them down first, so that few texts are moved.
+    count by language narrows them down first, so that few texts are moved. A
+    long row is learned by one of its parts, taken by the hash.
     Driver memory is bounded: packed presence (2^SPACE_BITS bits) of at most
     ``per_language * LANGUAGES`` rows.
     """
@@ -112,23 +129,28 @@ def train(docs: DataFrame, learnable: Column, *, per_language: int = ROWS_PER_LA
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = []
-            for text in batch.column(1):
+            bits, letters = [], []
+            for text, order in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 row = np.zeros(1 << SPACE_BITS, np.uint8)
-                mark(row, text.as_py())
+                some = parts(text.as_py())
+                mark(row, some[order % len(some)])
                 bits.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), batch.column(2)], names=["lang", "bits", "order"])
+                letters.append("".join(sorted(filter(str.isalpha, set(text.as_py().lower())))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), batch.column(2), pa.array(letters, pa.string())], names=["lang", "bits", "order", "letters"])
 
-    rows = sorted(((r["order"], r["lang"], bytes(r["bits"])) for r in picked.mapInArrow(pack, "lang string, bits binary, order long").collect()))
+    found = picked.mapInArrow(pack, "lang string, bits binary, order long, letters string").collect()
+    rows = sorted((r["order"], r["lang"], bytes(r["bits"])) for r in found)
     presence = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-    return learn([r[1] for r in rows], presence)
+    model = learn([r[1] for r in rows], presence)
+    model.letters = frozenset("".join(r["letters"] for r in found))
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and ``lid_lang``, ``lid_score`` (replaced if there).
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every
-    text if nothing was learned. The score is the share of the best language in
+    Null texts, texts without a letter and texts none of whose letters a learned
+    row has are ``und`` with score 0, as is every text if nothing was learned. The score is the share of the best language in
     a softmax of the regressors. Ties go to the first language by name.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -140,7 +162,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            sure = [i for i, x in enumerate(texts) if x and model.languages and any(map(str.isalpha, x))]
+            sure = [i for i, x in enumerate(texts) if x and model.languages and model.knows(x)]
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if sure:
                 raw = model.scores([texts[i] for i in sure]) * 3.0

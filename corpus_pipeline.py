@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from citeloom.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from citeloom.llm._common import stage
 
-#: A document is rejected below this share of its best language.
-LEAST_SURE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters or of no sure language go."""
-    found = language_id.classify(docs, language_id.train(docs, F.lit(True)))
-    sure = (F.col("lid_lang") != language_id.UNDETERMINED) & (F.col("lid_score") >= LEAST_SURE)
-    return found.where(sure).select(*docs.columns)
+    """Documents whose language is told; those without a letter of any learned language go, none if nothing was learned."""
+    model = language_id.train(docs, F.lit(True))
+    if not model.languages:
+        return docs
+    return language_id.classify(docs, model).where(F.col("lid_lang") != language_id.UNDETERMINED).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,22 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     assert out.count() > 0
+
+
+def test_language_stage_keeps_long_short_and_mixed_texts_and_all_if_nothing_was_learned(spark):
+    import random
+
+    rng = random.Random(3)
+    step = dict(corpus_pipeline.STAGES)["language ID"]
+    # 40 languages of the same letters, told apart by their words
+    stems = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(600)]
+    own = {f"l{i:02}": rng.sample(stems, 60) for i in range(40)}
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(n, say(lang, rng.randrange(1, 40)), lang) for n, lang in enumerate([x for x in own for _ in range(15)])]
+    long = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789.,;:-") for _ in range(5)) for _ in range(400_000))
+    rows += [(5000, long, "l00"), (5001, "ab.", "l01"), (5002, say("l00", 30) + " " + say("l01", 30), "l00")]
+    gone = [(6000, "12 34 ...", "l00"), (6001, "\u0436\u0437 \u0438", None), (6002, None, "l00")]
+    docs = spark.createDataFrame(rows + gone, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in step(spark, docs, SF).collect()) == [r[0] for r in rows]
+    unnamed = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert step(spark, unnamed, SF).count() == len(rows) + len(gone)
