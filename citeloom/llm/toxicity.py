@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from citeloom.llm._common import small, stage
 from citeloom.llm.language_id import fold
 
-#: Hash space of words, and of the pairs whose ratio differs from what their words say.
-WORD_BITS, PAIR_BITS = 20, 22
 #: Discounts of words and of pairs (a pair no more frequent is left to the shared backoff),
 #: and least difference that a pair must make to be kept for scoring.
 DISCOUNT, PAIR_DISCOUNT, PAIR_GAIN = 0.75, 5, 0.1
@@ -29,8 +27,8 @@ _CACHE_WORDS = 500_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-class _Slots(dict):
-    """Slot of a word: lower case without ASCII punctuation at its ends; 0 is the start of a text."""
+class _Keys(dict):
+    """64-bit key of a word: lower case without ASCII punctuation at its ends; 0 is the start of a text."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -38,43 +36,59 @@ class _Slots(dict):
         if len(self) >= _CACHE_WORDS:
             self.clear()
         bare = word.lower().strip(_EDGES) or word
-        self[word] = slot = 1 + xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) % ((1 << WORD_BITS) - 1)
-        return slot
+        key = xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass"))
+        self[word] = key = key - (key >> 63 << 64)
+        return key
 
 
-_slots = _Slots()
+_keys = _Keys()
 
 
 def pairs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's predecessor and the word, as slots."""
+    """Each word's predecessor and the word, as keys."""
     words = (text or "").split()
-    w = np.fromiter(map(_slots.__getitem__, words), np.int64, len(words))
+    w = np.fromiter(map(_keys.__getitem__, words), np.int64, len(words))
     return np.concatenate([np.zeros(min(1, len(w)), np.int64), w[:-1]]), w
 
 
-def pair_slot(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    h = ((v << WORD_BITS) | w).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit key of a pair of words."""
+    h = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h = (h + w.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted in the sorted keys; those that aren't there get the place after the last."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, at, len(keys))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """``v, w, ordinary, toxic``: how often w follows v in rows (text, toxic) of each class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(kept), return_counts=True)
-            toxic = (keys & 1).astype(bool)
-            pair = keys >> 1
-            columns = (pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1), np.where(toxic, 0, n), np.where(toxic, n, 0))
+            v, w, toxic = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((toxic, w, v))
+            v, w, toxic = v[order], w[order], toxic[order]
+            first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (toxic[1:] != toxic[:-1])]))
+            n, toxic = np.diff(np.append(first, len(v))), toxic[first]
+            columns = (v[first], w[first], np.where(toxic, 0, n), np.where(toxic, n, 0))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["v", "w", "ordinary", "toxic"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 v, w = pairs(text.as_py())
-                kept.append((((v << WORD_BITS) | w) << 1) | toxic)
+                kept.append((v, w, np.full(len(w), bool(toxic))))
                 size += len(w)
                 if size >= CHUNK:
                     yield out()
@@ -88,13 +102,18 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log ratio of toxic to ordinary: ``word[w] + pair[slot of (v, w)]``.
+    """Log ratio of toxic to ordinary: that of the word and, where there is one, the gain of the pair (v, w).
+
+    Keys are sorted, as many as there are words and kept pairs; the last entry of
+    ``word`` and of ``pair`` is for keys that aren't there.
 
     The weight of a predecessor's backoff comes from both classes' counts, so it
     cancels in the ratio of a pair that is not frequent.
     """
 
+    word_keys: np.ndarray
     word: np.ndarray
+    pair_keys: np.ndarray
     pair: np.ndarray
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
@@ -105,7 +124,7 @@ class Model:
         v, w = pairs(text)
         out = np.zeros(len(WINDOWS) + 4)
         if len(w):
-            ratios = self.word[w] + self.pair[pair_slot(v, w)]
+            ratios = self.word[places(self.word_keys, w)] + self.pair[places(self.pair_keys, pair_key(v, w))]
             sums = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
             telling = (ratios >= TELLING).sum()
             out[:4] = sums[-1] / len(w), np.log1p(len(w)), np.sqrt(telling / len(w)), np.log1p(telling)
@@ -131,44 +150,39 @@ def unigram(count: np.ndarray, follows: np.ndarray) -> np.ndarray:
 def learn_models(rows: DataFrame) -> Model | None:
     """Kneser-Ney models of both classes from rows (text, toxic); None if a class has no words.
 
-    The counts cover all rows. Of the pairs, only the difference to what their
-    words say reaches the driver; words and pairs have fixed hash spaces, so what
-    is collected and broadcast is bounded whatever the input.
+    The counts cover all rows and stand under full keys in a written table. What
+    is collected and broadcast grows with the distinct words of labelled rows,
+    and with the pairs that are frequent and differ from what their words say.
     """
     counted = stage(pair_counts(rows), "pairs")
-    size = 1 << WORD_BITS
     sums = [F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1")]
-    words = counted.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("follows")).toArrow().to_pandas()
+    words = counted.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("follows")).toArrow().to_pandas().sort_values("w")
     if not len(words) or not words["c0"].sum() or not words["c1"].sum():
         return None
-    c0, c1, follows = np.zeros(size), np.zeros(size), np.zeros(size)
-    for to, name in ((c0, "c0"), (c1, "c1"), (follows, "follows")):
-        to[words["w"]] = words[name]
+    keys = words["w"].to_numpy()
+    c0, c1, follows = (np.append(words[x].to_numpy(), 0).astype(float) for x in ("c0", "c1", "follows"))
     p0, p1 = unigram(c0, follows), unigram(c1, follows)
-    heads = counted.groupBy("v").agg(*sums, F.sum(F.least(F.col("ordinary") + F.col("toxic"), F.lit(PAIR_DISCOUNT))).alias("backed")).toArrow().to_pandas()
-    t, back = np.zeros((2, size)), np.ones(size)
-    v = heads["v"]
-    t[0][v], t[1][v] = heads["c0"], heads["c1"]
-    back[v] = heads["backed"] / (heads["c0"] + heads["c1"])
+    heads = counted.groupBy("v").agg(*sums, F.sum(F.least(F.col("ordinary") + F.col("toxic"), F.lit(PAIR_DISCOUNT))).alias("backed")).toArrow().to_pandas().sort_values("v")
+    head_keys = heads["v"].to_numpy()
+    t = heads[["c0", "c1"]].to_numpy().T
+    back = (heads["backed"] / (heads["c0"] + heads["c1"])).to_numpy()
     word = (np.log(p1) - np.log(p0)).astype(np.float32)
-    held = rows.sparkSession.sparkContext.broadcast([x.astype(np.float32) for x in (p0, p1, t[0], t[1], back)])
+    held = rows.sparkSession.sparkContext.broadcast([keys, head_keys, *[x.astype(np.float32) for x in (p0, p1, t[0], t[1], back)]])
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p0, p1, t0, t1, back = held.value
+        keys, head_keys, p0, p1, t0, t1, back = held.value
         for batch in batches:
             v, w, n0, n1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            rest = [back[v] * p[w] for p in (p0, p1)]
-            own = [np.maximum(n - PAIR_DISCOUNT, 0) / np.maximum(t[v], 1) + r for n, t, r in ((n0, t0, rest[0]), (n1, t1, rest[1]))]
+            head, at = places(head_keys, v), places(keys, w)
+            rest = [back[head] * p[at] for p in (p0, p1)]
+            own = [np.maximum(n - PAIR_DISCOUNT, 0) / np.maximum(t[head], 1) + r for n, t, r in ((n0, t0, rest[0]), (n1, t1, rest[1]))]
             gain = np.log(own[1] / rest[1]) - np.log(own[0] / rest[0])
             some = np.abs(gain) >= PAIR_GAIN
-            yield pa.RecordBatch.from_arrays([pa.array(pair_slot(v[some], w[some]), pa.int64()), pa.array(gain[some].astype(np.float64))], names=["slot", "gain"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_key(v[some], w[some]), pa.int64()), pa.array(gain[some].astype(np.float32))], names=["pair", "gain"])
 
     frequent = counted.where(F.greatest("ordinary", "toxic") > PAIR_DISCOUNT).select("v", "w", "ordinary", "toxic")
-    kept = frequent.mapInArrow(gains, "slot long, gain double").groupBy("slot").agg(F.sum("gain").cast("float").alias("gain"))
-    kept = kept.select(F.col("slot").cast("int").alias("slot"), "gain").toArrow().to_pandas()
-    pair = np.zeros(1 << PAIR_BITS, np.float32)
-    pair[kept["slot"]] = kept["gain"]
-    return Model(word, pair)
+    kept = frequent.mapInArrow(gains, "pair long, gain float").toArrow().to_pandas().sort_values("pair")
+    return Model(keys, word, kept["pair"].to_numpy(), np.append(kept["gain"].to_numpy(), np.float32(0)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -199,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, calibration_
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20))
     model = learn_models(rows.where(part % 4 != 0).select("text", "toxic"))
     if model is None:
-        return Model(np.zeros(1), np.zeros(1))
+        return Model(*[np.zeros(0, np.int64), np.zeros(1)] * 2)
     n = rows.select("doc_id").where(part % 4 == 0).count()
     share = min(1.0, calibration_rows / max(n, 1))
     held = spark.sparkContext.broadcast(model)

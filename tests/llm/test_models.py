@@ -110,3 +110,23 @@ def test_exact_dedup_of_odd_rows(spark, odd):
     assert kept.columns == odd.columns
     assert kept.count() == 6
     assert exact_dedup.keep_first(odd.limit(0)).collect() == []
+
+
+def test_toxic_words_and_pairs_keep_counts_of_their_own(spark):
+    """Words that a table of 2^20 slots would count together, and pairs that were never seen."""
+    import numpy as np
+    import xxhash
+
+    at, same = {}, []
+    for i in range(20_000):
+        word = f"w{i}"
+        same += [(at[slot], word)] if (slot := xxhash.xxh3_64_intdigest(word.encode()) % ((1 << 20) - 1)) in at else []
+        at[slot] = word
+    kind, rude = zip(*same[:40])
+    rows = [(f"{' '.join(kind)} calm", 0)] * 30 + [(f"{' '.join(rude)} calm", 1)] * 30
+    model = toxicity.learn_models(spark.createDataFrame(rows, "text string, toxic long"))
+    ratios = lambda words: model.word[toxicity.places(model.word_keys, toxicity.pairs(" ".join(words))[1])]
+    assert (ratios(kind) < -1).all() and (ratios(rude) > 1).all()
+    assert len(model.word_keys) == len(set(kind) | set(rude)) + 1
+    v, w = (x.ravel() for x in np.meshgrid(np.arange(1, 2001), np.arange(5000, 7000)))
+    assert not model.pair[toxicity.places(model.pair_keys, toxicity.pair_key(v, w))].any()
