@@ -30,7 +30,7 @@ class Encoder:
     A blank between two characters that aren't white space always starts a new
     pre-token, so texts are cut there and the ids of the parts are kept. The
     ranks file holds the same vocabulary as the tokenizer's JSON file and gives
-    the same ids. Strings of special tokens in a text are ordinary text.
+    the same ids. Strings of added tokens are ordinary text here, see ``with_added``.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
@@ -59,6 +59,33 @@ class Encoder:
         return self.first(parts[0]) + b"".join(map(self.kept.__getitem__, parts[1:]))
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Ids of the added tokens of the tokenizer's JSON file."""
+    import json
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
+def with_added(ids_of: Encoder, added: dict[str, int]):
+    """An encoder that gives added tokens their ids; the texts between them are encoded by themselves."""
+    if not added:
+        return ids_of
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    ids = {x: np.asarray([n], dtype="<u4").tobytes() for x, n in added.items()}
+
+    def encode(text: str) -> bytes:
+        if not marks.search(text):
+            return ids_of(text)
+        return b"".join(ids[x] if i % 2 else ids_of(x) for i, x in enumerate(marks.split(text)))
+
+    return encode
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -84,11 +111,11 @@ def cut(n: int, cap: int) -> Iterator[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, *, cap: int, end_id: int, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Tokenise whole texts, end each with ``end_id`` and cut those over ``cap`` tokens."""
+    """Tokenise whole texts (with the added tokens of the vocabulary that is the default), end each with ``end_id`` and cut those over ``cap`` tokens."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(ranks_path, pattern)
+        ids_of = with_added(encoder(ranks_path, pattern), added_tokens() if ranks_path is None else {})
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

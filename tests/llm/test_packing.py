@@ -87,3 +87,12 @@ def test_pack_places_every_token_once(spark):
             at += length
         assert at <= 64
     assert pack(docs.limit(0)).collect() == []
+
+
+def test_added_tokens_have_their_ids(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|> <|endoftext|><|endoftext|>\n y", "<|endoftext|", "end <|endoftext|>"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    want = [zlib.crc32(np.asarray(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()) for x in texts]
+    out = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in out] == want
