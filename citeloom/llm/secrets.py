@@ -15,9 +15,9 @@ ASSIGN_CHARS = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-#: Weak parts: opaque runs with both cases and a digit, and endpoints.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,127}[0-9])(?=[A-Za-z0-9+/_=-]{0,127}[A-Z])(?=[A-Za-z0-9+/_=-]{0,127}[a-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]{1,20}|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,256}"""
+#: Weak parts: opaque runs with both cases and a digit, and endpoints; both are matched whole.
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}"
+ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]{1,20}|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}"""
 
 #: Code points around an access identifier in which its other parts are looked for.
 SCOPE = 200
