@@ -114,8 +114,7 @@ def drop_repeats(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     gone = runs.select("row_key", "first_id", F.explode(F.sequence(F.col("at"), F.col("upto") - 1)).alias("line")).groupBy("row_key").agg(
         F.sort_array(F.collect_set("line")).alias("lines_gone"), F.sort_array(F.collect_set("first_id")).alias("ids")
     )
-    gone = stage(gone, "gone")
-    gone = small(gone, gone.count(), 400)
+    gone = stage(gone, "gone").hint("merge")  # the texts are shuffled at every size: no row of lines has a bound
     text = text_of(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("body"))
     key = F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
