@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from citeloom.llm._common import small, stage
 from citeloom.llm.language_id import fold
 
-#: Discounts of words and of pairs (a pair no more frequent is left to the shared backoff),
-#: and least difference that a pair must make to be kept for scoring.
-DISCOUNT, PAIR_DISCOUNT, PAIR_GAIN = 0.75, 5, 0.1
+#: Discounts of a word seen once, twice and more often, and of a pair: what is rarer is left to the shared backoff.
+DISCOUNTS, PAIR_DISCOUNT = (0.999, 1.99, 2.0), 2
 #: Words of the windows whose normalised ratios are compared.
 WINDOWS = (1, 2, 4, 16)
 #: Log ratio from which a word counts as telling.
@@ -23,7 +22,7 @@ TELLING = 2.0
 #: Labelled rows that the calibration takes at most, and words counted before a task emits.
 CALIBRATION_ROWS, CHUNK = 20_000, 1 << 21
 
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -107,8 +106,8 @@ class Model:
     Keys are sorted, as many as there are words and kept pairs; the last entry of
     ``word`` and of ``pair`` is for keys that aren't there.
 
-    The weight of a predecessor's backoff comes from both classes' counts, so it
-    cancels in the ratio of a pair that is not frequent.
+    Both classes give the same weight to what they share, so an expression that is
+    rare in both has a ratio of one whatever the sizes of the classes.
     """
 
     word_keys: np.ndarray
@@ -140,19 +139,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients[1:] + self.coefficients[0], -30, 30)))
 
 
-def unigram(count: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """A class's word probabilities, discounted and backed off to the continuation counts that both classes share."""
-    size = len(count)
-    shared = (np.maximum(follows - DISCOUNT, 0) + DISCOUNT * (follows > 0).sum() / size) / max(follows.sum(), 1)
-    return (np.maximum(count - DISCOUNT, 0) + max(DISCOUNT * (count > 0).sum(), 1e-9) * shared) / max(count.sum(), 1)
+def shared_backoff(follows: np.ndarray) -> np.ndarray:
+    """Word probabilities by how many predecessors a word has in both classes (continuation counts)."""
+    least = DISCOUNTS[0] * (follows > 0)
+    return (follows - least + least.sum() / len(follows)) / max(follows.sum(), 1)
+
+
+def evened(seen: list[np.ndarray], left: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Shares of two classes, each scaled so that both leave the larger ``left`` of their masses to the backoff."""
+    rest = np.maximum(*left)
+    return [x * (1 - rest) / np.maximum(1 - y, 1e-12) for x, y in zip(seen, left, strict=True)], rest
+
+
+def words_models(counts: list[np.ndarray], follows: np.ndarray) -> list[np.ndarray]:
+    """Both classes' word probabilities: discounted shares and, for the rest, the shared backoff."""
+    off = [np.select([c == 0, c == 1, c == 2], [0, *DISCOUNTS[:2]], DISCOUNTS[2]) for c in counts]
+    sums = [max(c.sum(), 1) for c in counts]
+    seen, rest = evened([(c - o) / n for c, o, n in zip(counts, off, sums, strict=True)], [np.asarray(o.sum() / n) for o, n in zip(off, sums, strict=True)])
+    return [x + rest * shared_backoff(follows) for x in seen]
 
 
 def learn_models(rows: DataFrame) -> Model | None:
     """Kneser-Ney models of both classes from rows (text, toxic); None if a class has no words.
 
-    The counts cover all rows and stand under full keys in a written table. What
-    is collected and broadcast grows with the distinct words of labelled rows,
-    and with the pairs that are frequent and differ from what their words say.
+    Pairs of words are discounted and interpolated with the class's words, these
+    with the continuation counts of both classes. A pair seen no more than
+    ``PAIR_DISCOUNT`` times in either class is wholly left to the words, so only
+    the others are kept. The counts cover all rows and stand under full keys in a
+    written table; what is collected and broadcast grows with the distinct words
+    and frequent pairs of labelled rows.
     """
     counted = stage(pair_counts(rows), "pairs")
     sums = [F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1")]
@@ -160,29 +175,26 @@ def learn_models(rows: DataFrame) -> Model | None:
     if not len(words) or not words["c0"].sum() or not words["c1"].sum():
         return None
     keys = words["w"].to_numpy()
-    c0, c1, follows = (np.append(words[x].to_numpy(), 0).astype(float) for x in ("c0", "c1", "follows"))
-    p0, p1 = unigram(c0, follows), unigram(c1, follows)
-    heads = counted.groupBy("v").agg(*sums, F.sum(F.least(F.col("ordinary") + F.col("toxic"), F.lit(PAIR_DISCOUNT))).alias("backed")).toArrow().to_pandas().sort_values("v")
+    p = words_models([np.append(words[x].to_numpy(), 0).astype(float) for x in ("c0", "c1")], np.append(words["follows"].to_numpy(), 0).astype(float))
+    frequent = counted.where(F.greatest("ordinary", "toxic") > PAIR_DISCOUNT)
+    off = [F.sum(F.least(F.col(c), F.lit(PAIR_DISCOUNT))).alias(n) for c, n in (("ordinary", "d0"), ("toxic", "d1"))]
+    heads = counted.groupBy("v").agg(*sums, *off).join(frequent.select("v").distinct(), "v", "left_semi").toArrow().to_pandas().sort_values("v")
     head_keys = heads["v"].to_numpy()
-    t = heads[["c0", "c1"]].to_numpy().T
-    back = (heads["backed"] / (heads["c0"] + heads["c1"])).to_numpy()
-    word = (np.log(p1) - np.log(p0)).astype(np.float32)
-    held = rows.sparkSession.sparkContext.broadcast([keys, head_keys, *[x.astype(np.float32) for x in (p0, p1, t[0], t[1], back)]])
+    t = [np.append(heads[c].to_numpy(), 0).astype(float) for c in ("c0", "c1")]
+    left = [np.where(n > 0, np.append(heads[d].to_numpy(), 0) / np.maximum(n, 1), 1.0) for d, n in zip(("d0", "d1"), t, strict=True)]
+    weights, rest = evened([1 / np.maximum(n, 1) for n in t], left)
+    held = rows.sparkSession.sparkContext.broadcast([keys, head_keys, *p, *weights, rest])
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, head_keys, p0, p1, t0, t1, back = held.value
+        keys, head_keys, p0, p1, w0, w1, rest = held.value
         for batch in batches:
             v, w, n0, n1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             head, at = places(head_keys, v), places(keys, w)
-            rest = [back[head] * p[at] for p in (p0, p1)]
-            own = [np.maximum(n - PAIR_DISCOUNT, 0) / np.maximum(t[head], 1) + r for n, t, r in ((n0, t0, rest[0]), (n1, t1, rest[1]))]
-            gain = np.log(own[1] / rest[1]) - np.log(own[0] / rest[0])
-            some = np.abs(gain) >= PAIR_GAIN
-            yield pa.RecordBatch.from_arrays([pa.array(pair_key(v[some], w[some]), pa.int64()), pa.array(gain[some].astype(np.float32))], names=["pair", "gain"])
+            logs = [np.log1p(np.maximum(n - PAIR_DISCOUNT, 0) * x[head] / np.maximum(rest[head] * q[at], 1e-300)) for n, x, q in ((n0, w0, p0), (n1, w1, p1))]
+            yield pa.RecordBatch.from_arrays([pa.array(pair_key(v, w), pa.int64()), pa.array((logs[1] - logs[0]).astype(np.float32))], names=["pair", "gain"])
 
-    frequent = counted.where(F.greatest("ordinary", "toxic") > PAIR_DISCOUNT).select("v", "w", "ordinary", "toxic")
-    kept = frequent.mapInArrow(gains, "pair long, gain float").toArrow().to_pandas().sort_values("pair")
-    return Model(keys, word, kept["pair"].to_numpy(), np.append(kept["gain"].to_numpy(), np.float32(0)))
+    kept = frequent.select("v", "w", "ordinary", "toxic").mapInArrow(gains, "pair long, gain float").toArrow().to_pandas().sort_values("pair")
+    return Model(keys, (np.log(p[1]) - np.log(p[0])).astype(np.float32), kept["pair"].to_numpy(), np.append(kept["gain"].to_numpy(), np.float32(0)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -203,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, calibration_
     """Learn from labelled learnable rows: three quarters by hash for the models, the rest to calibrate.
 
     An id with several labels is toxic if one of them is; null labels and null
-    ids are left out. Without words of both classes all scores are 0.
+    ids are left out. If the rows to calibrate from lack a class, all learnable
+    rows are taken. Without words of both classes all scores are 0. Repeated rows
+    count as often as they come; no rows give such a model.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
@@ -211,10 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, calibration_
     known = small(known, labels.count(), 32)
     rows = docs.where(learnable).join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20))
-    model = learn_models(rows.where(part % 4 != 0).select("text", "toxic"))
+    fitted, calibrated = part % 4 != 0, part % 4 == 0
+    if rows.where(calibrated).agg(F.countDistinct("toxic")).first()[0] < 2:
+        fitted = calibrated = F.lit(True)
+    model = learn_models(rows.where(fitted).select("text", "toxic"))
     if model is None:
         return Model(*[np.zeros(0, np.int64), np.zeros(1)] * 2)
-    n = rows.select("doc_id").where(part % 4 == 0).count()
+    n = rows.select("doc_id").where(calibrated).count()
     share = min(1.0, calibration_rows / max(n, 1))
     held = spark.sparkContext.broadcast(model)
 
@@ -223,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, calibration_
             x = [held.value.features(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    some = rows.where((part % 4 == 0) & (part < share * (1 << 20))).select("text", "toxic")
+    some = rows.where(calibrated & (part < share * (1 << 20))).select("text", "toxic")
     found = sorted((tuple(r["x"]), r["y"]) for r in some.mapInArrow(measure, "x array<double>, y long").collect())
     y = np.asarray([r[1] for r in found], float)
     if len(set(y)) < 2:
