@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 
 #: Lengths of the blended spectrum's character n-grams, and the hash space of their presence.
 GRAMS, SPACE_BITS = (1, 2, 3), 15
-#: Bounds of the fit: labelled rows of each language, languages, landmarks, and the ridge.
-ROWS_PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 400, 200, 256, 1e-2
+#: Bounds of the fit: labelled rows of each language, and of all (every language has some), landmarks, and the ridge.
+ROWS_PER_LANGUAGE, ROWS, LANDMARKS, RIDGE = 400, 24_000, 256, 1e-2
 #: Code points that are hashed at once, and rows of a presence matrix.
 CHUNK, BLOCK = 1 << 20, 128
 #: Code points of a part of a long text: the presence of a longer one would fill the hash space.
@@ -107,13 +107,15 @@ def train(docs: DataFrame, learnable: Column, *, per_language: int = ROWS_PER_LA
     The rows are those with the least hash of their text, among whole texts; a
     count by language narrows them down first, so that few texts are moved. A
     long row is learned by one of its parts, taken by the hash.
-    Driver memory is bounded: packed presence (2^SPACE_BITS bits) of at most
-    ``per_language * LANGUAGES`` rows.
+    Every language that a learnable row has is learned. Where there are so many
+    that ``per_language`` rows of each would be more than ``ROWS``, each has fewer,
+    but 4 at least: the driver holds packed presence (2^SPACE_BITS bits a row).
     """
     spark = docs.sparkSession
     named = docs.where(learnable & F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    counts = docs.where(learnable & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    shares = [(r["lang"], min(1.0, 3.0 * per_language / r["n"] + 20.0 / r["n"])) for r in counts.collect()]
+    counts = docs.where(learnable & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    per_language = max(min(per_language, 4), min(per_language, ROWS // max(len(counts), 1)))
+    shares = [(r["lang"], min(1.0, 3.0 * per_language / r["n"] + 20.0 / r["n"])) for r in counts]
     if not shares:
         return learn([], np.zeros((0, (1 << SPACE_BITS) // 8), np.uint8))
     shares = F.broadcast(spark.createDataFrame(shares, "share_lang string, share double"))
