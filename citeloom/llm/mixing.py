@@ -12,9 +12,6 @@ from citeloom.llm._common import SPACE, small, stage, text_of
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix takes, and how often a source may repeat.
 SHARE, MOST = 1.5, 2.0
-#: Offsets that are drawn for each source; the one whose sum comes nearest to the target is used.
-OFFSETS = 32
-
 
 def words(text: Column) -> Column:
     """How many runs of characters other than white space."""
@@ -45,6 +42,11 @@ def targets(sizes: list[tuple[str | None, int]], *, share: float = SHARE, most:
     return out
 
 
+def drawn(digits: int, *parts: Column) -> Column:
+    """The first hexadecimal digits of the MD5 of the parts (nulls left out), as a long."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, digits), 16, 10).cast("long")
+
+
 def size_class(size: Column) -> Column:
     """Monotone class of a size: its number of bits and its next four bits."""
     bits = F.length(F.bin(size))
@@ -59,8 +61,10 @@ def mix(docs: DataFrame, *, seed: int = 17, share: float = SHARE, most: float =
 
     Within a source every document expects ``target / source_size`` copies.
     The prefix sum of these runs over the documents by size class and hash; one
-    random offset is added, and a document is emitted once for every integer
-    that its stretch of the sum crosses. Ranks are a sum of three distributed
+    random offset is drawn for the source and added, and a document is emitted
+    once for every integer that its stretch of the sum crosses. As sizes grow
+    along the sum, what is taken differs from the target by the largest size at
+    most. Ranks are a sum of three distributed
     counts (classes before, hash cells before in the class, rows before in the
     cell), so that no task gets a whole source. Only a row per source reaches
     the driver.
@@ -74,8 +78,8 @@ def mix(docs: DataFrame, *, seed: int = 17, share: float = SHARE, most: float =
     base = docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), words(text).alias("size"), F.xxhash64(text).alias("text_hash")
     )
-    base = base.withColumns({"order": F.xxhash64(F.lit(seed), "doc_id", "text_hash"), "class": size_class(F.col("size"))})
-    base = stage(base.withColumn("cell", F.pmod("order", F.lit(256)).cast("int")), "sizes")
+    base = base.withColumns({"order": drawn(15, F.lit(seed), F.col("doc_id").cast("string")), "class": size_class(F.col("size"))})
+    base = stage(base.withColumn("cell", F.shiftright("order", 52).cast("int")), "sizes")
 
     per_source = sorted(
         ((r["source"], r["size"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()),
@@ -104,18 +108,8 @@ def mix(docs: DataFrame, *, seed: int = 17, share: float = SHARE, most: float =
     )
     ranked = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
-    drawn = [F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "source"), F.lit(1 << 40)) / float(1 << 40) for i in range(OFFSETS)]
-    sums = ranked.groupBy("source").agg(
-        F.first("target").alias("goal"), *[F.sum(_crossed(drawn[i]) * F.col("size")).alias(f"o{i}") for i in range(OFFSETS)]
-    )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"o{i}") - F.col("goal")).alias("off"), F.lit(i).alias("i"), drawn[i].alias("offset")) for i in range(OFFSETS)]))
-    chosen = [(r["source"], r["x"]["offset"]) for r in sums.select("source", nearest.alias("x")).collect()]
-    chosen = F.broadcast(spark.createDataFrame(chosen, "offset_source string, offset double"))
-    return (
-        ranked.join(chosen, F.col("source").eqNullSafe(F.col("offset_source")))
-        .withColumn("copies", _crossed(F.col("offset")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "text_hash")
-    )
+    offset = drawn(10, F.lit(seed), F.lit("offset"), F.col("source")) / float(1 << 40)
+    return ranked.withColumn("copies", _crossed(offset)).select("doc_id", "source", "size", "source_size", "target", "copies", "text_hash")
 
 
 def _crossed(offset: Column) -> Column:
@@ -147,3 +141,32 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+# The mix again by one window over each source; exact where ids are distinct.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17:' || doc_id), 1, 15) AS BIGINT) AS ord
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(sum(size)) OVER () AS every,
+         [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, 1.5 * every::DOUBLE
+              - 2 * coalesce(sum(source_size) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS room,
+         sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS weights
+  FROM s),
+u AS (SELECT first(room / weights ORDER BY 2.0 * source_size / weight, source) FILTER (WHERE NOT room / weights * weight > 2.0 * source_size) AS unit FROM r),
+t AS (SELECT source, source_size, CASE WHEN unit IS NULL OR unit * weight > 2.0 * source_size THEN 2.0 * source_size ELSE unit * weight END AS target FROM r, u),
+k AS (
+  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0 ELSE t.target / t.source_size END AS rate,
+         CAST('0x' || substr(md5(concat_ws(':', '17', 'offset', d.source)), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS off,
+         row_number() OVER (PARTITION BY d.source ORDER BY
+           CASE WHEN size < 32 THEN size ELSE length(bin(size)) * 16 + (size >> (length(bin(size)) - 5)) % 16 END, ord, doc_id) - 1 AS rank
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
+FROM (SELECT *, CAST(floor(off + (rank + 1) * rate) - floor(off + rank * rate) AS BIGINT) AS copies FROM k)
+"""
