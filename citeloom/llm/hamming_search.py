@@ -46,7 +46,8 @@ def search(
     Null codes and null ids are left out. Fewer than ``k`` other rows give all of
     them. No rows give no rows.
     """
-    n_segments = bits // width
+    spark, n_segments = rows.sparkSession, bits // width
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = rows.where("id is not null and code is not null")
     ranked = some.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for key in (["code", "salt"], ["code"]):  # a common code is cut down by many tasks first
@@ -63,9 +64,11 @@ def search(
         n_open = open_codes.count()
         if not n_open:
             break
-        masks = F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
-        probes = open_codes.select(F.col("code").alias("q"), "edge", F.explode(segments(F.col("code"), bits, width)).alias("s")).select(
-            "q", "edge", F.col("s.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("s.value").bitwiseXOR(m))).alias("value")
+        # made once, not for every row
+        masks = spark.range(1 << width).where(F.bit_count("id") == r).agg(F.collect_list("id")).scalar()
+        probes = open_codes.repartition(n_parts, "code").select(F.col("code").alias("q"), "edge", F.explode(segments(F.col("code"), bits, width)).alias("s"))
+        probes = probes.withColumn("masks", masks).select(
+            "q", "edge", F.col("s.segment").alias("segment"), F.explode(F.transform("masks", lambda m: F.col("s.value").bitwiseXOR(m))).alias("value")
         )
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")
         met = probes.join(small(index, n_entries * n_segments, 48), ["segment", "value"]).select("q", "edge", "code", "held", distance)
