@@ -141,3 +141,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("first_ids", lambda i: i.cast("string")), ",").alias("first_ids"),
         F.sha2("cleaned", 256).alias("cleaned_sha256"),
     )
+
+
+# Exact where ids are distinct and not null.
+OP10_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+f AS (
+  SELECT doc_id, body, parts, list_transform(parts, lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS folded FROM t),
+l AS (
+  SELECT doc_id, pos, len(folded) AS n_lines, length(folded[pos + 1]) AS n
+  FROM (SELECT doc_id, folded, unnest(range(len(folded))) AS pos FROM f)),
+g AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS cum,
+         pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -1) - 1 AS before,
+         coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n_lines) - pos - 1 AS after
+  FROM l WHERE n > 0),
+runs AS (
+  SELECT a.doc_id, a.pos AS first, b.pos AS last, unnest(range(a.before + 1)) AS c
+  FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.pos <= b.pos AND b.cum - a.cum + a.n >= 40 AND b.cum - b.n - a.cum + a.n < 40
+  UNION
+  SELECT a.doc_id, a.pos, b.pos, -unnest(range(b.after + 1))
+  FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.pos <= b.pos AND b.cum - a.cum + a.n >= 40 AND b.cum - a.cum < 40),
+m AS (
+  SELECT r.doc_id, first - greatest(c, 0) AS pos, last + 1 - least(c, 0) AS upto, c, md5(array_to_string(folded[first + 1 : last + 1], chr(10))) AS print
+  FROM runs r JOIN f USING (doc_id)),
+o AS (SELECT *, first_value(struct_pack(doc_id := doc_id, pos := pos)) OVER (PARTITION BY print, c ORDER BY doc_id, pos, upto) AS origin FROM m),
+x AS (SELECT doc_id, pos, upto, origin.doc_id AS first_id FROM o WHERE doc_id <> origin.doc_id OR pos <> origin.pos),
+gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos, upto))))) AS dropped, list_sort(list_distinct(list(first_id))) AS ids FROM x GROUP BY doc_id)
+SELECT f.doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+       coalesce(array_to_string(dropped, ','), '') AS dropped, coalesce(array_to_string(ids, ','), '') AS first_ids,
+       sha256(CASE WHEN dropped IS NULL THEN body
+                   ELSE array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(dropped, i - 1)], chr(10)) END) AS cleaned_sha256
+FROM f LEFT JOIN gone USING (doc_id)
+"""
