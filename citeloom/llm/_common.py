@@ -15,18 +15,24 @@ BROADCAST_BYTES = 32 << 20
 #: What the contracts call white space: blank and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch in tables that ``stage`` writes: long texts come in batches of some MB.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests in local mode) a temporary folder of
-    this machine is taken and set as the checkpoint folder.
+    Where a local session sets none (tests) a temporary folder of this machine
+    is taken and set as the checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -42,11 +48,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with a table that outlives executors; the tables of a
-    session go when the driver's process ends.
+    session go when the driver's process ends. Python functions get batches of
+    ``ARROW_ROWS`` rows during the write.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

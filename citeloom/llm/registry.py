@@ -30,5 +30,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op6_ngram_jaccard_join": jaccard_join.OP6_SQL,
     "op8_hamming_search": hamming_search.OP8_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }

@@ -54,7 +54,8 @@ def test_components_equal_brute_force(spark):
 
 
 def test_chains_and_many_trees(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TREE_POINTS", 4)
+    monkeypatch.setattr(jaccard_join, "TREE_SHINGLES", 900)
+    monkeypatch.setattr(jaccard_join, "STAR_SHINGLES", 400)
     rng = random.Random(6)
     words = [str(i) for i in range(400)]
     rows = [(i, " ".join(words[i * 4 : i * 4 + 200])) for i in range(40)]
@@ -66,7 +67,8 @@ def test_chains_and_many_trees(spark, monkeypatch):
 def test_tree_loses_nothing():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 20, rng.integers(1, 200), dtype=np.uint64)) for _ in range(150)]
-    points, sizes = np.stack([counts(s) for s in sets]), np.asarray([len(s) for s in sets])
+    sizes = np.asarray([len(s) for s in sets])
+    points = counts(np.concatenate(sets).view(np.int64), np.cumsum([0, *sizes]))
     tree = CountTree(points, sizes)
     for i in range(150):
         want = np.flatnonzero(np.minimum(points, points[i]).sum(1) >= 0.4 * (sizes + sizes[i]) - 1e-6)
@@ -79,3 +81,36 @@ def test_nulls_repeats_and_no_rows(spark):
     got = sorted(((r[0] or -1), r[1], (r[2] or -1)) for r in jaccard_components(docs).collect())
     assert got == [(-1, 1, -1), (3, 1, 3), (3, 1, 3), (4, 0, 4), (7, 1, 3), (7, 1, 3)]
     assert jaccard_components(docs.limit(0)).collect() == []
+
+
+def test_hot_passages_and_families_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "TREE_SHINGLES", 3000)
+    rng = random.Random(9)
+    word = lambda: str(rng.randrange(10**6))
+    shared = [word() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        own = [word() for _ in range(rng.choice([10, 40, 80, 200]))]
+        at = rng.randrange(len(own) + 1)
+        text = own[:at] + shared + own[at:]
+        rows.append((2 * i, " ".join(text)))
+        for _ in range(rng.randrange(3)):
+            copy = list(text)
+            for _ in range(rng.choice([1, 1, 2, 5])):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((1001 + len(rows), " ".join(copy)))
+    # sets of few shingles, whose groups are often empty
+    few = [word() for _ in range(14)]
+    rows += [(5000 + i, " ".join(few[: 10 + i % 4] + [word()] * (i % 2))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, threshold in ((3, 0.9), (5, 0.8), (1, 0.7)):
+        assert sorted(tuple(r) for r in jaccard_components(docs, k=k, threshold=threshold).collect()) == brute(rows, k, threshold)
+
+
+def test_very_long_texts_link(spark):
+    rng = random.Random(3)
+    long = [str(rng.randrange(10**7)) for _ in range(20_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:19_500])), (3, " ".join(long[:8000] + [str(rng.randrange(10**7)) for _ in range(12_000)])), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_components(docs).collect()) == brute(rows)
