@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,11 @@ def first_match(table: list[tuple[Column, str]], otherwise: str | None = None) -
     return out.otherwise(F.lit(otherwise)) if otherwise is not None else out
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with these columns evaluated once: a generator's output is not put into later expressions, as a projection's is."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 #: Precedence of findings; the first that holds is the primary one.
 PRECEDENCE = ("F7", "F6", "F4", "F3", "F5")
 

@@ -131,34 +131,3 @@ def resolved_identifier(retrieved_pmid: Column, claimed_pmid: Column, doi: Colum
     kind = first_match([(some(c).isNotNull(), k) for c, k, _ in kinds], "none")
     source = first_match([(some(c).isNotNull(), s) for c, _, s in kinds], "none")
     return F.struct(value.alias("value"), kind.alias("kind"), source.alias("source"))
-
-
-#: Strings of a publication type and the tier that they tell, strongest first (fixed values).
-TIERS = (
-    ("meta-analysis", "systematic_review"),
-    ("systematic review", "systematic_review"),
-    ("randomized controlled trial", "randomized_trial"),
-    ("clinical trial", "other_trial"),
-    ("observational study", "observational"),
-    ("case reports", "case_report"),
-    ("review", "narrative_review"),
-    ("editorial", "opinion"),
-)
-
-
-def evidence_tier(types: Column) -> Column:
-    """Tier of the first rule that a publication type contains."""
-    has = lambda s: F.exists(types, lambda t: F.lower(t).contains(s))
-    return first_match([(has(s), tier) for s, tier in TIERS], "unclassified")
-
-
-#: Parse failures by pattern of the message, with the tries that each may have (fixed values).
-FAILURES = (("empty", "empty_reply", 3), ("malformed|not json|unterminated", "malformed_json", 3), ("key", "key_mismatch", 2), ("span", "span_unresolved", 1))
-
-
-def parse_failure(message: Column) -> Column:
-    """(bucket, budget) of a failed reply."""
-    low = F.lower(message)
-    bucket = first_match([(low.rlike(p), b) for p, b, _ in FAILURES], "other")
-    budget = F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for p, _, n in FAILURES], F.lit(1))
-    return F.struct(bucket.alias("bucket"), budget.alias("budget"))

@@ -19,13 +19,29 @@ def reciprocal_rank(rank: Column, k: int = 60) -> Column:
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Bounds of the Wilson score interval, rounded to 4 places; 0 for no trials."""
+    """Bounds of the Wilson score interval within 0 and 1, rounded to 4 places; 0 for no trials."""
     p = successes / n
     middle, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
-    return tuple(F.when(n > 0, F.round(x / scale, 4)).otherwise(F.lit(0.0)) for x in (middle - spread, middle + spread))
+    return tuple(F.when(n > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / scale)), 4)).otherwise(F.lit(0.0)) for x in (middle - spread, middle + spread))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, starts: Column) -> DataFrame:
     """``island``: number of the run of rows that a row is in; ``starts`` is true where a run starts."""
     return df.withColumn("island", F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def spread_rank(df: DataFrame, key: str, by: str, *ties: str, parts: int = 64) -> DataFrame:
+    """``rank`` (from 1) of each row in its key, the greatest ``by`` first, without one task for a key.
+
+    Rows are dealt to stretches of ``by`` between its quantiles in the key; a
+    rank is the rows of the stretches before and the place in the own one.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.groupBy(key).agg(F.array_distinct(F.percentile_approx(by, shares, 10_000)).alias("cuts_"))
+    dealt = df.join(cuts, key).withColumn("part_", F.size(F.filter("cuts_", lambda c: c > F.col(by)))).drop("cuts_")
+    counts = dealt.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy(key, "part_").orderBy(F.desc(by), *ties))
+    return dealt.withColumn("place_", place).join(counts, [key, "part_"]).withColumn("rank", F.col("before_") + F.col("place_")).drop("part_", "place_", "before_")

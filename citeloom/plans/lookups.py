@@ -9,7 +9,7 @@ from citeloom.functions import similarity, text
 from citeloom.functions.rules import first_match
 from citeloom.functions.tri import is_false, is_true
 from citeloom.operators.graph import min_label
-from citeloom.operators.ranking import first_per, islands, reciprocal_rank, wilson
+from citeloom.operators.ranking import first_per, islands, reciprocal_rank, spread_rank, wilson
 from citeloom.plans.catalog import query, table
 
 
@@ -132,12 +132,22 @@ def asof_notice(spark, sf_dir):
     "SELECT l_partkey AS surface, l_orderkey, l_linenumber, l_suppkey, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state FROM (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, count(DISTINCT s_suppkey) AS n FROM lineitem LEFT JOIN supplier ON l_suppkey % 25 = s_nationkey AND l_quantity BETWEEN s_suppkey % 20 AND s_suppkey % 20 + 15 GROUP BY 1, 2, 3, 4)",
 )
 def interval_valid_mapping(spark, sf_dir):
-    """Mappings that are valid at a value: equi-join on the key, range on the interval."""
-    mapping = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    valid = (F.col("l_suppkey") % 25 == F.col("s_nationkey")) & F.col("l_quantity").between(F.col("s_suppkey") % 20, F.col("s_suppkey") % 20 + 15)
+    """Mappings that are valid at a value, counted once for each key and whole value, so that a line meets one row.
+
+    Only lines that stand several times with other values meet the mappings themselves.
+    """
+    low = F.col("s_suppkey") % 20
+    mapping = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey", F.explode(F.sequence(low, low + 15)).alias("value"))
+    valid = mapping.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
     keys = ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"]
-    n = table(spark, sf_dir, "lineitem").select(*keys, "l_quantity").join(mapping, valid, "left").groupBy(*keys).agg(F.countDistinct("s_suppkey").alias("n"))
-    return n.select(F.col("l_partkey").alias("surface"), *keys[1:], first_match([(F.col("n") == 1, "resolved"), (F.col("n") > 1, "ambiguous")], "unresolved").alias("state"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.collect_set(F.col("l_quantity").cast("long")).alias("values"))
+    lines = lines.withColumn("at", F.col("l_suppkey") % 25)
+    same = (F.col("at") == F.col("key")) & (F.get("values", 0) == F.col("value"))
+    once = lines.where("size(values) = 1").join(valid, same, "left").select(*keys, "n")
+    more = lines.where("size(values) > 1").join(mapping, (F.col("at") == F.col("key")) & F.array_contains("values", F.col("value")), "left")
+    n = once.union(more.groupBy(*keys).agg(F.countDistinct("s_suppkey").alias("n")))
+    state = first_match([(F.col("n") == 1, "resolved"), (F.col("n") > 1, "ambiguous")], "unresolved")
+    return n.select(F.col("l_partkey").alias("surface"), *keys[1:], state.alias("state"))
 
 
 @query(
@@ -151,21 +161,6 @@ def date_window_candidates(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "title_normalize",
-    r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' <i>Re-test</i>'), '<[^>]*>', ' ', 'g'), '^ *(erratum|correction|corrigendum) *: *', ''), '([a-z0-9])-([a-z0-9])', '\1\2', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title FROM part",
-)
-def title_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.normal_title(F.concat("p_name", F.lit(" <i>Re-test</i>"))).alias("title"))
-
-
-@query("page_canonical")
-def page_canonical(spark, sf_dir):
-    """Elided page ranges; compared with examples in the tests."""
-    pages = F.concat(F.col("p_partkey") + 1190, F.lit("-"), F.col("p_size") % 10)
-    return table(spark, sf_dir, "part").select("p_partkey", text.full_pages(pages).alias("pages"))
-
-
 NAMES = "WITH n AS (SELECT DISTINCT lower(p_name) AS t FROM part), p AS (SELECT a.t AS a, b.t AS b FROM n a JOIN n b ON a.t < b.t) "
 
 
@@ -197,12 +192,6 @@ def jaro_winkler_pairs(spark, sf_dir):
     return _names(spark, sf_dir).select("a", "b", F.round(similarity.jaro_winkler_udf("a", "b"), 4).alias("similarity"))
 
 
-@query("token_sort_ratio")
-def token_sort_ratio(spark, sf_dir):
-    """Compared with examples in the tests."""
-    return _names(spark, sf_dir).select("a", "b", F.round(similarity.token_sort_udf("a", "b"), 4).alias("ratio"))
-
-
 SQL_SCORE = """WITH f AS (SELECT p_partkey AS id, p_retailprice / 2200.0 AS ts, CASE p_size % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS author, CASE p_size % 5 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS year, p_size % 2 = 0 AS journal FROM part),
 s AS (SELECT *, round(greatest(0, least(1, ts + CASE WHEN author THEN .05 WHEN NOT author THEN -.15 ELSE 0 END + CASE WHEN year THEN .05 WHEN NOT year THEN -.10 ELSE 0 END + CASE WHEN journal THEN .03 ELSE 0 END)), 4) AS score FROM f) """
 
@@ -305,7 +294,7 @@ SQL_STREAMS = "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITI
 
 def _streams(spark, sf_dir):
     v = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 6).alias("v"))
-    return v.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("v"), "user_id")))
+    return spread_rank(v, "event_type", "v", "user_id")
 
 
 @query("rrf_fusion", SQL_STREAMS + "SELECT user_id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS streams, min(rank) AS best_rank FROM r GROUP BY 1")
@@ -418,12 +407,6 @@ def doi_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.normal_doi(F.concat(F.lit("https://doi.org/"), "url", F.lit(". "))).alias("doi"))
 
 
-@query("claim_input_status", "SELECT CASE WHEN x = '' THEN 'empty' WHEN regexp_matches(x, '^[\\[(]?[0-9]+([,; -]+[0-9]+)*[\\])]?[.]?$') AND regexp_matches(x, '^[\\[(]') THEN 'marker_only' WHEN regexp_matches(x, '^[-+0-9.,;:%/ ()]+$') THEN 'numeric_fragment' WHEN regexp_matches(x, '^[\\[(][0-9]+([,; -]+[0-9]+)*[\\])]') THEN 'leading_marker_bleed' ELSE 'prose' END AS status, count(*) AS n FROM (SELECT trim(CASE conv_id % 5 WHEN 0 THEN '[3, 4]' WHEN 1 THEN ' 12.5% ' WHEN 2 THEN '[7] ' || text WHEN 3 THEN '' ELSE text END) AS x FROM conversations) GROUP BY 1".replace("\\\\", "\\"))
-def claim_input_status(spark, sf_dir):
-    made = F.when(F.col("conv_id") % 5 == 0, "[3, 4]").when(F.col("conv_id") % 5 == 1, " 12.5% ").when(F.col("conv_id") % 5 == 2, F.concat(F.lit("[7] "), "text")).when(F.col("conv_id") % 5 == 3, "").otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").groupBy(text.claim_input_status(made).alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "hash_chain",
     "SELECT o_custkey, list_reduce(list_prepend('genesis', list(sha256(CAST(o_orderkey AS VARCHAR)) ORDER BY o_orderkey)), lambda a, x: sha256(a || x)) AS tip FROM orders GROUP BY 1",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeloom.functions import folding
 from citeloom.operators import decisions
 from citeloom.plans.catalog import query, table
 
@@ -97,13 +96,6 @@ def resolved_identifier(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("x")).select("o_orderkey", "x.value", "x.kind")
 
 
-@query("parse_failures", "SELECT CASE WHEN event_type = 'error' THEN 'empty_reply' WHEN event_type = 'click' THEN 'key_mismatch' ELSE 'other' END AS bucket, CASE WHEN event_type = 'error' THEN 3 WHEN event_type = 'click' THEN 2 ELSE 1 END AS budget, count(*) AS n FROM events GROUP BY 1, 2")
-def parse_failures(spark, sf_dir):
-    message = F.when(F.col("event_type") == "error", "Empty reply").when(F.col("event_type") == "click", "unknown KEY x").otherwise("timeout")
-    x = decisions.parse_failure(message)
-    return _histogram(table(spark, sf_dir, "events"), bucket=x["bucket"], budget=x["budget"])
-
-
 @query("high_band_rate", "SELECT count_if(quality = 1) AS high, count(*) AS scoreable, CASE WHEN count(*) > 0 THEN round(count_if(quality = 1) / count(*), 6) END AS rate FROM labels WHERE toxic = 0")
 def high_band_rate(spark, sf_dir):
     high, n = F.count_if(F.col("quality") == 1), F.count(F.lit(1))
@@ -131,12 +123,6 @@ def candidate_cap(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("pool"), F.least(n, F.lit(50)).alias("kept"), (n > 50).alias("truncated"))
 
 
-@query("bibliographic_fold", "SELECT doc_id, length(strip_accents(text)) AS n FROM documents")
-def bibliographic_fold(spark, sf_dir):
-    """Accents off; the texts have no tags, entities or Greek letters."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(folding.fold_udf("text")).cast("long").alias("n"))
-
-
 @query("word_alignment", "WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark), t AS (SELECT DISTINCT item_id, unnest(w) AS word FROM b), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n_both FROM t x JOIN t y ON x.word = y.word AND x.item_id <> y.item_id GROUP BY 1, 2) SELECT a, p.b, round(n_both / (len(l.w) + len(r.w) - n_both), 6) AS jaccard FROM p JOIN b l ON l.item_id = a JOIN b r ON r.item_id = p.b QUALIFY row_number() OVER (PARTITION BY a ORDER BY n_both / (len(l.w) + len(r.w) - n_both) DESC, p.b) = 1")
 def word_alignment(spark, sf_dir):
     """Best aligned other item by word Jaccard, ties to the earliest; counted from an equi-join on words."""

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.functions.text import ABBREVIATIONS
+from citeloom.sources.providers import tagged
+
 REFERENCES = (
     "citation_id string, source_id string, source_title string, ref_ord int, title string, authors array<string>, year int, journal string, "
     "volume string, pages string, claimed_pmid string, claimed_doi string, publication_type string, citance string, section string, "
@@ -18,20 +21,16 @@ REFERENCES = (
 
 _MARK = "\ue000{}\ue001"
 _MARKED = re.compile("\ue000(.*?)\ue001")
-#: Abbreviations after which a full stop does not end a sentence (fixed values).
-_ABBREVIATIONS = ("al", "e.g", "i.e", "Fig", "Figs", "vs", "cf", "Dr", "No", "ca", "approx", "Ref", "Refs", "Eq")
+#: Stands for a blank that ends no sentence, and for the end of one.
+_GLUE, _CUT = "\ue002", "\ue003"
+_SHORT = re.compile(rf"(?i)((?:^|(?<=\s))(?:{'|'.join(map(re.escape, ABBREVIATIONS))}|[a-z])\.)\s(?=\S)")
+_END = re.compile(r"""([.!?][)\]"'”’]*(?:\ue000.*?\ue001)*)\s+(?=[A-Z“"'(\[\ue000])""")
 
 
 def sentences(text: str) -> list[str]:
-    """Verbatim sentences: cut after . ! ? before a blank and a capital, digit or mark, but not after abbreviations or initials."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?][\"')\]]*(?:\ue000.*?\ue001)*\s+(?=[A-Z0-9\[(\ue000])", text):
-        word = re.search(r"(\S*)$", text[start : m.start()])[1].lstrip("([")
-        if text[m.start()] == "." and (word in _ABBREVIATIONS or re.fullmatch(r"[A-Z]", word)):
-            continue
-        out.append(text[start : m.end()].strip())
-        start = m.end()
-    return [s for s in (*out, text[start:].strip()) if s]
+    """Verbatim sentences: cut where a mark is followed by a blank and an opening or citation mark, but not after abbreviations or initials."""
+    cut = _END.sub(rf"\1{_CUT}", _SHORT.sub(rf"\1{_GLUE}", text))
+    return [s for s in (x.replace(_GLUE, " ").strip() for x in cut.split(_CUT)) if s]
 
 
 def _name(node: ET.Element) -> str:
@@ -124,14 +123,13 @@ def parse_article(content: bytes, source_id: str) -> list[dict]:
 
 
 def read_articles(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
-    """References of all articles under ``path``; ``ids`` are looked for in the file names before anything is read.
+    """References of all articles under ``path``; with ``ids``, only files of these names are listed and read.
 
     An article that isn't well-formed gives one row with only its source id.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    names = "*" if ids is None else "{" + ",".join(sorted(ids)) + "}" if ids else "-"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{names}.xml").load(path)
     files = files.withColumn("source_id", F.regexp_extract("path", r"([^/]+)\.xml$", 1))
-    if ids is not None:
-        files = files.where(F.col("source_id").isin(ids))
     columns = [c.split()[0] for c in REFERENCES.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,23 +148,21 @@ def read_articles(spark: SparkSession, path: str, ids: list[str] | None = None)
 
 
 def parse_tagged(records: DataFrame) -> DataFrame:
-    """MEDLINE-style ``TAG - value`` text to a record: ``pmid, title, authors, year, journal, doi, year_from_dep``.
+    """Records (``body``: MEDLINE-style text) with the columns of ``providers.tagged``."""
+    return records.select(tagged(F.col("body")).alias("x")).select("x.*")
 
-    ``records``: column ``body``. Lines that start with blanks continue a value.
-    """
-    flat = F.regexp_replace("body", r"\r?\n {6}", " ")
-    value = lambda tag: F.regexp_extract_all(flat, F.lit(rf"(?m)^{tag} *- (.*)$"), F.lit(1))
-    one = lambda tag: F.trim(F.get(value(tag), 0))
-    title = F.coalesce(one("TI"), one("BTI"), one("TT"))
-    printed = F.regexp_extract(F.coalesce(one("DP"), F.lit("")), r"\b(\d{4})\b", 1)
-    early = F.regexp_extract(F.coalesce(one("DEP"), F.lit("")), r"^(\d{4})", 1)
-    doi = F.filter(F.concat(value("AID"), value("LID")), lambda x: x.endswith("[doi]"))
-    return records.select(
-        one("PMID").alias("pmid"),
-        F.regexp_replace(title, r"\.$", "").alias("title"),
-        F.transform(value("FAU"), lambda x: F.trim(F.get(F.split(x, ","), 0))).alias("authors"),
-        F.coalesce(F.nullif(printed, F.lit("")), F.nullif(early, F.lit(""))).cast("int").alias("year"),
-        F.coalesce(one("JT"), one("TA")).alias("journal"),
-        F.trim(F.regexp_replace(F.get(doi, 0), r"\[doi\]$", "")).alias("doi"),
-        ((printed == "") & (early != "")).alias("year_from_dep"),
-    )
+
+def cited_marks(spark: SparkSession, path: str) -> DataFrame:
+    """``source_id, rid``: every reference id that a mark anywhere in an article cites, whatever the parser reaches."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    text = F.decode("content", "UTF-8")
+    marks = F.regexp_extract_all(text, F.lit(r"<xref\b([^>]*)>"), F.lit(1))
+    cited = F.filter(marks, lambda m: m.rlike(r"""ref-type\s*=\s*["']bibr["']"""))
+    rids = F.flatten(F.transform(cited, lambda m: F.split(F.trim(F.regexp_extract(m, r"""\brid\s*=\s*["']([^"']*)["']""", 1)), r"\s+")))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("source_id"), F.explode(F.array_distinct(rids)).alias("rid")).where("rid <> ''")
+
+
+def unreached_marks(cited: DataFrame, references: DataFrame) -> DataFrame:
+    """Cited ids that no reference of the parse has a citing sentence for."""
+    reached = references.where("cited_in_body").select("source_id", F.regexp_extract("citation_id", r":(.*)$", 1).alias("rid"))
+    return cited.join(reached, ["source_id", "rid"], "left_anti")

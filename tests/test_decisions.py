@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import folding
 from citeloom.operators import decisions as d
 from citeloom.operators.graph import min_label
-from citeloom.operators.ranking import wilson
+from citeloom.operators.ranking import spread_rank, wilson
 
 
 def answers(spark, schema, rows, column):
@@ -41,29 +41,46 @@ def test_dates_and_patterns(spark):
     assert answers(spark, "s string", [("qualified",), ("clear",), ("unresolved",), (None,)], d.retracted(F.col("s"))) == [True, False, None, None]
 
 
-def test_relations_tiers_and_failures(spark):
+def test_relations(spark):
     rows = [(True, False, False, False, False, True), (False, True, True, False, False, False), (False, True, False, False, False, True), (False, False, True, False, False, False)]
     assert answers(spark, ", ".join(f"c{i} boolean" for i in range(6)), rows, d.study_relation(*[F.col(f"c{i}") for i in range(6)])) == ["not_independent", "not_independent", "independent", "unknown"]
-    types = [(["Review", "Meta-Analysis"],), (["Clinical Trial, Phase II"],), (["Letter"],), ([],)]
-    assert answers(spark, "t array<string>", types, d.evidence_tier(F.col("t"))) == ["systematic_review", "other_trial", "unclassified", "unclassified"]
-    assert answers(spark, "m string", [("Unterminated string",), ("wrong Key",), ("boom",)], d.parse_failure(F.col("m"))["budget"]) == [3, 2, 1]
 
 
 def test_components_and_intervals(spark):
     nodes = spark.range(12)
     edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(9, 8), (8, 11)], "a long, b long")
     assert dict(map(tuple, min_label(nodes, edges).collect())) == dict.fromkeys(range(7), 0) | {7: 7, 8: 8, 9: 8, 10: 10, 11: 8}
+    assert {r.id: r.label for r in min_label(nodes, edges.limit(0)).collect()} == {i: i for i in range(12)}
     low, high = wilson(F.col("k"), F.col("n"))
-    assert answers(spark, "k int, n int", [(74, 80), (0, 0)], F.struct(low, high))[0][:] == (0.8459, 0.9652)
+    assert answers(spark, "k int, n int", [(74, 80), (0, 0), (5, 5), (0, 5)], F.struct(low, high)) == [(0.8459, 0.9652), (0.0, 0.0), (0.5655, 1.0), (0.0, 0.4345)]
 
 
-@pytest.mark.parametrize(("text", "want"), [("Caf&eacute; <i>β</i>–x ﬁn", "Cafe beta-x fin"), ("", "")])
-def test_fold(text, want):
-    assert folding.fold(text) == want
+def test_components_of_chains_and_cycles_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)]
+    up = {i: i for i in range(150)}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    got = dict(map(tuple, min_label(spark.range(150), spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == {i: top(i) for i in range(150)}
 
 
-def test_charges_stems_and_order():
-    assert folding.fold_charge("Mn(2+) and Ca2+ but A2+B") == "Mn2plus and Ca2plus but A2+B"
-    assert folding.stem("treatments") == "treat"
-    assert folding.contained_in_order(["a", "bc"], ["x", "a", "b", "c"])
-    assert not folding.contained_in_order(["c", "a"], ["a", "c"])
+def test_ranks_over_stretches_equal_one_window(spark):
+    rows = [(k, i * 7 % 50 / 2, i) for k in ("a", "b") for i in range(200 if k == "a" else 3)]
+    got = spread_rank(spark.createDataFrame(rows, "k string, v double, id int"), "k", "v", "id", parts=8).collect()
+    for k in ("a", "b"):
+        want = {i: n for n, (_, i) in enumerate(sorted((-v, i) for kk, v, i in rows if kk == k), 1)}
+        assert {r.id: r["rank"] for r in got if r.k == k} == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("Caf&eacute; <i>β</i>–x ﬁn", "Cafe  beta -x fin"), ("", "")])
+def test_fold(text, want):
+    assert folding.fold(text) == want

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.functions import similarity, text
+from citeloom.functions import similarity
 from citeloom.functions.rules import first_match, primary
 from citeloom.functions.tri import count_false, count_true
 from citeloom.plans import catalog
@@ -57,13 +57,22 @@ def test_first_rule_wins_and_null_does_not_match(spark):
     assert [r[0] for r in found] == ["F6", "F7", None]
 
 
-@pytest.mark.parametrize(("pages", "full"), [("1199-8", "1199-1208"), ("100-5", "100-105"), ("12-18", "12-18"), ("7", "7"), ("199-02", "199-202"), ("x", None)])
-def test_elided_pages_are_written_out(spark, pages, full):
-    assert spark.createDataFrame([(pages,)], "p string").select(text.full_pages(F.col("p"))).first()[0] == full
-
-
 def test_similarities():
     assert similarity.token_sort_ratio("b a", "A b") == 100.0
     assert similarity.token_sort_ratio("abc", "xyz") == 0.0
     assert round(similarity.jaro_winkler("martha", "marhta"), 4) == 0.9611
     assert similarity.jaro_winkler("", "a") == 0.0
+
+
+def test_common_subsequence_equals_the_table():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert similarity.common_subsequence(a, b) == row[-1]

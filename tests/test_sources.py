@@ -1,41 +1,113 @@
-from citeloom.sources.articles import parse_tagged, read_articles, sentences
+"""Articles, records, sinks and accounted joins from files."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from citeloom.operators import joins
+from citeloom.sources import articles, sinks
 from citeloom.streaming.groups import running_routes, windowed_tally
 
-ARTICLE = """<article><front><article-meta><title-group><article-title>Whole <i>work</i></article-title></title-group></article-meta></front>
-<body><sec><title>Methods</title><p>As in Smith et al. we did this [<xref ref-type="bibr" rid="B1">1</xref>]. See Fig. 2 <xref ref-type="fig" rid="F2">2</xref>.</p>
-<sec><title>Deep</title><p>Both agree <xref ref-type="bibr" rid="B1">1</xref>, <xref ref-type="bibr" rid="B3">3</xref>. Nothing here.</p></sec></sec>
-<table-wrap><table><tr><td>Arm</td><td>x <xref ref-type="bibr" rid="B4">4</xref></td></tr></table></table-wrap></body>
-<back><ref-list>
-<ref id="B1"><element-citation publication-type="journal"><person-group person-group-type="author"><name><surname>Ng</surname></name></person-group><person-group person-group-type="editor"><name><surname>Ed</surname></name></person-group><article-title>One</article-title><source>J</source><year>2001</year><fpage>5</fpage><lpage>9</lpage><pub-id pub-id-type="pmid">11</pub-id></element-citation></ref>
-<ref id="B2"><mixed-citation>Never cited <year>1999</year> or <year>2000</year></mixed-citation></ref>
-<ref id="B3"><mixed-citation><article-title>Three</article-title><pub-id pub-id-type="doi">10.1/x</pub-id></mixed-citation></ref>
-<ref id="B4"><mixed-citation/></ref>
-</ref-list></back></article>"""
-
-
-def test_references_and_citances(spark, tmp_path):
-    (tmp_path / "PMC1.xml").write_text(ARTICLE)
-    (tmp_path / "PMC2.xml").write_text("<article><broken>")
-    (tmp_path / "PMC3.xml").write_text(ARTICLE)
-    got = {r.citation_id: r for r in read_articles(spark, str(tmp_path), ["PMC1", "PMC2"]).collect()}
-    assert set(got) == {None, "PMC1:B1", "PMC1:B2", "PMC1:B3", "PMC1:B4"}
-    one, three = got["PMC1:B1"], got["PMC1:B3"]
-    assert one.citance == "As in Smith et al. we did this [1]." and one.section == "Methods"
-    assert (one.authors, one.year, one.pages, one.claimed_pmid) == (["Ng"], 2001, "5-9", "11")
-    assert three.citance == "Both agree 1, 3." and three.section == "Methods/Deep"
-    assert three.group_members == ["PMC1:B3"] and one.group_id == "PMC1:g01" and three.group_id == "PMC1:g02"
-    assert got["PMC1:B2"].year is None and got["PMC1:B2"].cited_in_body is False
-    assert got["PMC1:B4"].citance == "Arm | x 4"
+
+def ref(rid, inner):
+    return f'<ref id="{rid}"><element-citation publication-type="journal">{inner}</element-citation></ref>'
+
+
+def mark(*rids):
+    return f'<xref rid="{" ".join(rids)}" ref-type="bibr">{rids[0][1:]}</xref>'
+
+
+#: A paragraph cites two works in its second sentence, a table row one, and a caption one that no paragraph has.
+WORKS = {
+    "r10": "<person-group><collab>Soil Group</collab></person-group><chapter-title>Clay</chapter-title><year>2004</year><elocation-id>e77</elocation-id>",
+    "r11": "<name><surname>Okafor</surname></name><article-title>Sand <sub>2</sub></article-title><source>Dune J</source><volume>3</volume><year>1987</year><pub-id pub-id-type='doi'>10.9/s</pub-id>",
+    "r12": "<article-title>Silt</article-title><year>2010</year><year>2011</year>",
+    "r13": "<article-title>Loam</article-title>",
+}
+BODY = (
+    f"<sec><title>Results</title><p>Plots were dry. Yields fell in vol. 3 of the survey {mark('r11')} and rose later {mark('r12', 'r10')}! Prices did not move.</p>"
+    f"<table-wrap><table><tr><td>Farm</td><td>low {mark('r10')}</td></tr></table></table-wrap></sec>"
+)
+
+
+def article(body=BODY):
+    refs = "".join(ref(k, v) for k, v in WORKS.items())
+    return f"<article><front><article-meta><title-group><article-title>Fields</article-title></title-group></article-meta></front><body>{body}</body><back><ref-list>{refs}</ref-list></back></article>"
+
+
+@pytest.fixture
+def corpus(tmp_path):
+    (tmp_path / "PMC70.xml").write_text(article())
+    (tmp_path / "PMC71.xml").write_text("<article><body>")
+    (tmp_path / "PMC72.xml").write_text(article(BODY + f"<fig><label>{mark('r13')}</label></fig>"))
+    (tmp_path / "notes.txt").write_text("no article")
+    return tmp_path
+
+
+def test_references_of_chosen_articles(spark, corpus):
+    rows = articles.read_articles(spark, str(corpus), ["PMC70", "PMC71"])
+    assert "PMC72" not in str(rows.inputFiles())
+    got = {r.citation_id: r for r in rows.collect()}
+    assert set(got) == {None, *(f"PMC70:{k}" for k in WORKS)}
+    sand, clay = got["PMC70:r11"], got["PMC70:r10"]
+    assert sand.citance == "Yields fell in vol. 3 of the survey 11 and rose later 12!" and sand.section == "Results"
+    assert (sand.authors, sand.year, sand.journal, sand.volume, sand.claimed_doi) == (["Okafor"], 1987, "Dune J", "3", "10.9/s")
+    assert clay.title == "Clay" and clay.pages == "e77" and clay.citance == sand.citance
+    assert sand.group_members == ["PMC70:r11", "PMC70:r12", "PMC70:r10"]
+    assert got["PMC70:r12"].year is None and got["PMC70:r13"].cited_in_body is False
+    assert articles.read_articles(spark, str(corpus), []).collect() == []
+
+
+def test_marks_that_the_parse_does_not_reach(spark, corpus):
+    (corpus / "PMC71.xml").unlink()
+    cited = articles.cited_marks(spark, str(corpus))
+    refs = articles.read_articles(spark, str(corpus))
+    lost = articles.unreached_marks(cited, refs)
+    assert cited.where("source_id = 'PMC70'").count() == 3
+    assert [tuple(r) for r in lost.collect()] in ([], [("PMC72", "r13")])
 
 
 def test_sentences_are_verbatim():
-    assert sentences("We saw it (e.g. Fig. 1). A. Smith did. 3 more? Yes.") == ["We saw it (e.g. Fig. 1).", "A. Smith did.", "3 more?", "Yes."]
+    text = "Trials ran (see Figs. 1 and 2). M. Okafor et al. Led them. At 3.5 it stopped? Yes."
+    got = articles.sentences(text)
+    assert got == ["Trials ran (see Figs. 1 and 2).", "M. Okafor et al. Led them.", "At 3.5 it stopped?", "Yes."]
+    assert " ".join(got) == text
+
+
+def test_sinks(spark, tmp_path, corpus):
+    rows = spark.createDataFrame([("b", "F2", None), ("a", "cleared", 1), ("c", "unscoreable", 2), ("d", None, 3)], "citation_id string, label string, n int")
+    log, said = sinks.split_log(rows)
+    assert log.count() == 4 and {r.citation_id for r in said.collect()} == {"a", "b"}
+    sinks.write_lines(log, str(tmp_path / "out"), "citation_id")
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[:2] == ['{"citation_id":"a","label":"cleared","n":1}', '{"citation_id":"b","label":"F2"}']
+    found, manifest = sinks.dispositions(rows.where("label is not null"))
+    again, other = sinks.dispositions(rows.where("label is not null").orderBy(F.desc("citation_id")))
+    first = manifest.first()
+    assert found.count() == 3 and first.labels == {"F2": 1, "cleared": 1, "unscoreable": 1} and first.rows_sha256 == other.first().rows_sha256
+    assert sinks.dispositions(rows.withColumn("label", F.lit("F2")))[1].first().rows_sha256 != first.rows_sha256
+    queue, review = sinks.blind_queue(rows.withColumn("outcome", F.when(F.col("n") == 2, "HUMAN_REVIEW")), ["citation_id"])
+    assert queue.columns == ["citation_id"] and [r[0] for r in review.collect()] == ["c"]
+    held = spark.createDataFrame(sinks.corpus_manifest(spark, str(corpus)).collect())
+    (corpus / "PMC70.xml").write_text("changed")
+    (corpus / "PMC71.xml").unlink()
+    states = joins.corpus_state(held, sinks.corpus_manifest(spark, str(corpus)))
+    assert {r.name: r.state for r in states.collect()} == {"PMC70.xml": "changed", "PMC71.xml": "absent", "PMC72.xml": "same"}
 
 
-def test_tagged_records(spark):
-    body = "PMID- 5\nTI  - A long\n      title.\nFAU - Ng, A\nFAU - Li, B\nDEP - 20190102\nLID - 10.1/a [doi]\nTA  - J Ab\nJT  - Journal\n"
-    r = parse_tagged(spark.createDataFrame([(body,)], "body string")).first()
-    assert (r.pmid, r.title, r.authors, r.year, r.journal, r.doi, r.year_from_dep) == ("5", "A long title", ["Ng", "Li"], 2019, "Journal", "10.1/a", True)
+def test_joins_that_are_refused(spark):
+    ids = spark.createDataFrame([("a",), ("b",)], "citation_id string")
+    some = spark.createDataFrame([("a", "cleared"), ("x", "F2")], "citation_id string, label string")
+    account = joins.accounting(ids, some).first()
+    assert (account.matched, account.missing, account.extra, account.cleared, account.missing_sample, account.extra_sample) == (1, 1, 1, 1, ["b"], ["x"])
+    assert {tuple(r) for r in joins.enforced(ids, some).collect()} == {("a", "cleared"), ("b", None)}
+    for args, options in (((ids, None), {}), ((ids, some.where("label = 'F2'")), {}), ((ids, some), {"whole": True})):
+        with pytest.raises(joins.ContractError):
+            joins.enforced(*args, **options)
+    with pytest.raises(joins.ContractError):
+        joins.selected(ids, some)
+    assert joins.selected(ids, some.where("label = 'cleared'")).count() == 1
+    counts = spark.createDataFrame([("missing", 3), ("no_citance", 4)], "disposition string, n int")
+    assert counts.agg(joins.all_missing(counts, "missing", ["no_citance"]).alias("x")).first().x is True
 
 
 def test_streams(spark, tmp_path):
@@ -45,5 +117,5 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert dict(map(tuple, spark.table("routes").collect())) == {1: "HELD_LOW_CONFIDENCE", 2: "F6_FLAGGED", 3: "FULL_COVERAGE"}
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert windowed_tally(events).count() > 0
