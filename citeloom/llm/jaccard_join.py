@@ -13,8 +13,8 @@ from citeloom.llm._common import connected_components, mark, release, small, sta
 
 #: Least groups of a count vector, shingles of a group, points of a tree node, and shingles of a tree's points (of one that a pivot alone searches).
 GROUPS, PER_GROUP, FANOUT, TREE_SHINGLES, STAR_SHINGLES = 32, 8, 8, 1 << 18, 1 << 16
-#: One group in so many is spare, dealings of a set into groups, and documents of a key that is dropped where the slack allows it.
-SPARE, DEALS, HOT = 6, 4, 32
+#: One group in so many is spare, and dealings of a set into groups.
+SPARE, DEALS = 6, 4
 #: Least size of a size class as a share of its largest.
 CLASS_WIDTH = 0.64
 
@@ -82,17 +82,16 @@ def groups_at(level: int, tops: np.ndarray, threshold: float) -> tuple[int, int]
 
 
 def group_keys(h: np.ndarray, threshold: float, tops: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Lists of keys of a set, each with its slack: two linked sets share a key that neither may drop.
+    """Lists of keys of a set, each with its slack: two linked sets share more keys of a list than either's slack.
 
     A level stands for two neighbouring size classes; linked sets meet at the
     level of the larger one. They differ in at most K shingles there, so of
     K + 1 + s groups of shingles 1 + s are the same in both. A key is the hash of
     level, dealing, group and the group's content; empty groups have none. With e
-    empty groups at most s - e keys of a list may be dropped (its slack) and one
-    shared key is still left, if e is at most s. Otherwise the set is dealt into
-    groups anew, up to ``DEALS`` times; the smaller number of dealings of two sets
-    has a shared key. A set for which all fail has the empty groups' keys, too,
-    and a slack under 0.
+    empty groups more than s - e keys of a list are shared (its slack), if e is at
+    most s. Otherwise the set is dealt into groups anew, up to ``DEALS`` times;
+    of two sets the smaller number of dealings has the shared keys. A set for
+    which all fail has the empty groups' keys, too, and a slack under 0.
     """
     n, own = len(h), int(np.searchsorted(tops, len(h)))
     out = []
@@ -296,10 +295,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
     1. Equal sets become one class, represented by its smallest doc_id.
     2. Linked sets share the whole content of some groups of shingles (see
        ``group_keys``), which deals them to blocks: those that share a key with
-       a pivot, the smallest id of the key. A set drops its hot keys (of more
-       than ``HOT`` documents) where its slack proves that it shares others with
-       whatever it links with, so a passage that many documents have makes no
-       block.
+       a pivot, the smallest id of the key. As linked sets share more keys than
+       the slack, a set drops as many of its keys as that, the commonest of all
+       keys first; the rarest shared key is dropped by neither. So a passage
+       that many documents have makes no block, and a set that shares no more
+       keys than its slack is done.
     3. A block's count vectors are indexed in R-trees of at most
        ``TREE_SHINGLES`` shingles, by bands of size where it needs several. The
        pivots are searched first: this links copies of a text by stars, whatever
@@ -326,10 +326,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, threshold: float = 0.9) -
     keyed = lists.where("doc_id is not null and size(keys) > 0").join(small(copies, copies.count(), 48), ["n", "h1", "h2"], "left")
     keyed = keyed.where("rep is null or rep = doc_id").select("doc_id", "part", "slack", F.explode("keys").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pivots = stage(pivots.select("key", "pivot", (F.col("size") > HOT).alias("hot")), "pivots").hint("merge")
-    shared = keyed.join(pivots, "key").groupBy("doc_id", "part", "slack").agg(F.collect_list(F.struct("pivot", "hot")).alias("met"))
-    droppable = F.size(F.filter("met", lambda x: x["hot"])) <= F.col("slack")
-    kept = F.when(droppable, F.filter("met", lambda x: ~x["hot"])).otherwise(F.col("met"))
+    pivots = stage(pivots, "pivots").hint("merge")
+    shared = keyed.join(pivots, "key").groupBy("doc_id", "part", "slack").agg(F.array_sort(F.collect_list(F.struct("size", "key", "pivot"))).alias("met"))
+    kept = F.slice("met", F.lit(1), F.greatest(F.size("met") - F.greatest("slack", F.lit(0)), F.lit(0)))
     met = shared.select("doc_id", F.explode(kept["pivot"]).alias("pivot")).where("doc_id <> pivot")
     met = stage(met.groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("shared")), "met")
     nodes = stage(met.select("doc_id").union(met.select("pivot")).distinct(), "nodes")

@@ -84,7 +84,6 @@ def test_nulls_repeats_and_no_rows(spark):
 
 
 def test_hot_passages_and_families_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT", 2)
     monkeypatch.setattr(jaccard_join, "TREE_SHINGLES", 3000)
     rng = random.Random(9)
     word = lambda: str(rng.randrange(10**6))
