@@ -19,10 +19,13 @@ HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z0-9]{1,20}|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}"""
 
+#: Names of a user, client or account: weak access identifiers.
+IDENT = r"""(?<![A-Za-z0-9_])(?i:(?:user_?name|user|login|client_?id|account_?id|account|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+
 #: Code points around an access identifier in which its other parts are looked for.
 SCOPE = 200
 #: The kinds by rank in a document's list of spans.
-KINDS = ("assign", "access", "hex", "opaque", "endpoint")
+KINDS = ("assign", "access", "hex", "opaque", "endpoint", "ident")
 
 _BLOCK = 256
 
@@ -90,10 +93,11 @@ def joined(all_spans: Column) -> Column:
 def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     """Secrets of every row: ``doc_id, assign, access, hex, linked``, arrays of spans.
 
-    Base kinds are found in one pass over the whole text. Opaque runs and
-    endpoints are weak: they are linked, and reported, only where an access
-    identifier is at most ``scope`` code points away and, for an endpoint, an
-    assigned or opaque secret too. The parts are joined as intervals: an
+    Base kinds are found in one pass over the whole text. Names of users, clients
+    or accounts, opaque runs and endpoints are weak: they are linked, and
+    reported, only where their complements are at most ``scope`` code points
+    away: a secret (assigned or opaque) for a name, an access identifier (strong
+    or a name) for an opaque run, both for an endpoint. The parts are joined as intervals: an
     anchor's scope is dealt to the stretches of ``scope`` code points that it
     covers, a weak part to those that it lies in, and a semi-join on text and
     stretch checks the distance, so no pairs are made. Parts of equal texts are
@@ -113,11 +117,11 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     none = F.array().cast(_NONE)
     strong = F.concat("assign", "access", "hex")
     weak = F.filter(
-        F.concat(spans(F.col("text"), OPAQUE, "opaque"), spans(F.col("text"), ENDPOINT, "endpoint")),
+        F.concat(spans(F.col("text"), OPAQUE, "opaque"), spans(F.col("text"), ENDPOINT, "endpoint"), spans(F.col("text"), IDENT, "ident")),
         lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
     )
     found = stage(
-        base.withColumn("weak", F.when(F.size("access") > 0, weak).otherwise(none))
+        base.withColumn("weak", F.when((F.size("access") > 0) | F.col("text").rlike(IDENT), weak).otherwise(none))
         .withColumn("text_key", F.when(F.size("weak") > 0, F.sha2("text", 256)))
         .drop("text"),
         "spans",
@@ -144,12 +148,14 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     parts = linkable.select("text_key", F.explode("weak").alias("w")).select(
         "text_key", "w", F.explode(F.sequence(F.floor(F.col("w.start") / scope), F.floor(F.col("w.end") / scope))).alias("stretch")
     )
-    by_access = near(parts, reach("access"))
-    opaque, endpoint = KINDS.index("opaque"), KINDS.index("endpoint")
-    secrets = F.concat("assign", F.filter("weak", lambda w: w["kind"] == opaque))
-    by_secret = near(by_access.where(F.col("w.kind") == endpoint), reach(secrets))
+    opaque, endpoint, ident = map(KINDS.index, ("opaque", "endpoint", "ident"))
+    kind = F.col("w.kind")
+    of_kind = lambda k: F.filter("weak", lambda w: w["kind"] == k)
+    by_access = near(parts.where(kind != ident), reach(F.concat("access", of_kind(ident))))
+    wanting = by_access.where(kind == endpoint).union(parts.where(kind == ident))
+    by_secret = near(wanting, reach(F.concat("assign", of_kind(opaque))))
     linked = stage(
-        by_access.where(F.col("w.kind") == opaque).union(by_secret).select("text_key", "w").distinct().groupBy("text_key").agg(F.collect_list("w").alias("linked")),
+        by_access.where(kind == opaque).union(by_secret).select("text_key", "w").distinct().groupBy("text_key").agg(F.collect_list("w").alias("linked")),
         "linked",
     )
     linked = small(linked, linked.count(), 1000)
