@@ -166,3 +166,36 @@ def series_conflict(a: Column, b: Column) -> Column:
     years, editions = [title_years(t) for t in (a, b)], [edition_ordinals(t) for t in (a, b)]
     apart = lambda x: some(x[0]) & some(x[1]) & ~F.arrays_overlap(*x)
     return (some(romans[0]) & some(romans[1]) & (romans[0] != romans[1])) | apart(years) | apart(editions)
+
+
+# Labels that stand before a title, and words that carry none of it.
+_CHAPTER = (
+    r"(?i)^\s*(?:chapters?|sections?|parts?|appendix|unit)\s+(?:[ivxlcdm]+|\d{1,3}|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|"
+    r"sixteen|seventeen|eighteen|nineteen|twenty)\b\s*[-–—:.]\s+(?=[A-Za-z])"
+)
+_KIND = r"^\s*(?:[A-Z][\w'’&.\-]+(?:\s+[\w'’&.\-]+){0,5}?\s+(?i:report|statement|guidelines?|guidance|recommendations?|consensus(?:\s+statement)?))\.\s+(?=[A-Z][a-z])"
+_RUN = r"^((?:(?!\.\s+[A-Z][a-z]).)*)\.\s+(?=[A-Z][a-z])"
+_FILL = "a an and as at by for from in of on or the to with de la le".split()
+
+
+def without_furniture(title: Column) -> Column:
+    """(title, excised): a chapter label, a report's label or a run of authors before the title off, if four content words are left."""
+    bare = F.trim(_text(title))
+    content = lambda t: F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)[^\W\d_]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(_FILL)))
+    run = F.regexp_extract(bare, _RUN, 1)
+    names = F.filter(F.transform(F.split(run, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    authors = run.contains(";") & (F.size(names) >= 2) & F.forall(names, lambda x: x.rlike(r"^\p{Lu}") & (F.size(F.split(x, r"\s+")) <= 6))
+
+    def cut(pattern: str) -> tuple[Column, Column]:
+        rest = F.trim(F.regexp_replace(bare, pattern, ""))
+        return rest, F.regexp_extract(bare, pattern, 0)
+
+    value = lambda t, x: F.struct(t.alias("title"), x.alias("excised"))
+    whole = value(title, F.lit(""))
+    out = None
+    for pattern, when in ((_CHAPTER, bare.rlike(_CHAPTER)), (_KIND, bare.rlike(_KIND))):
+        rest, gone = cut(pattern)
+        found = F.when(content(rest) >= 4, value(rest, gone)).otherwise(whole)
+        out = F.when(when, found) if out is None else out.when(when, found)
+    rest, _ = cut(_RUN)
+    return out.when(authors & (content(rest) >= 4), value(rest, F.concat(run, F.lit(".")))).otherwise(whole)

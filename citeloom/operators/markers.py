@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import STOPWORDS, content_tokens, stem
@@ -98,3 +98,47 @@ def partition_key(scope_id: Column, group_id: Column, citation_id: Column) -> Co
     """Co-citation group of a reference: its run, else its sentence, else itself."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.coalesce(some(scope_id), some(group_id), F.concat(F.lit("~solo~"), citation_id))
+
+
+def numbering(marks: DataFrame, references: DataFrame) -> DataFrame:
+    """``doc, number, rid`` of documents whose marks number the references by their place, without a single exception.
+
+    ``marks``: doc, label, rids; ``references``: doc, ord (from 1), rid. At least
+    one numeric mark of one reference must attest the scheme.
+    """
+    single = marks.where(F.trim("label").rlike(r"^\d+$") & (F.size("rids") == 1))
+    said = single.select("doc", F.trim("label").try_cast("int").alias("ord"), F.get("rids", 0).alias("said"))
+    held = said.join(references, ["doc", "ord"], "left").groupBy("doc").agg(F.min(F.coalesce(F.col("said") == F.col("rid"), F.lit(False))).alias("sound")).where("sound")
+    return references.join(held.select("doc"), "doc", "left_semi").select("doc", F.col("ord").alias("number"), "rid")
+
+
+def inferred_members(marks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``doc, sentence, at, number, rid``: references inside a printed range, such as 4 in 3-5; all of a range or none.
+
+    ``marks``: doc, sentence, at, label, rids, between (the text up to the next
+    mark). Both ends must be numeric marks of the references that have these
+    numbers, with nothing but a dash between them.
+    """
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("doc", "sentence").orderBy("at")
+    one = (F.size("rids") == 1) & F.trim("label").rlike(r"^\d+$")
+    ends = marks.select("doc", "sentence", "at", "between", F.when(one, F.trim("label").try_cast("int")).alias("low"), F.get("rids", 0).alias("low_rid"))
+    ends = ends.withColumns({"high": F.lead("low").over(order), "high_rid": F.lead("low_rid").over(order)})
+    ranges = ends.where((F.col("high") > F.col("low") + 1) & F.trim("between").rlike(r"^[-‐‑‒–—―−]$"))
+    number = lambda name, rid: numbers.select("doc", F.col("number").alias(name), F.col("rid").alias(rid))
+    sound = ranges.join(number("low", "low_rid"), ["doc", "low", "low_rid"], "left_semi").join(number("high", "high_rid"), ["doc", "high", "high_rid"], "left_semi")
+    inner = sound.select("doc", "sentence", "at", "low", "high", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)).alias("number"))
+    found = inner.join(numbers, ["doc", "number"], "left")
+    whole = found.groupBy("doc", "sentence", "at").agg(F.count("rid").alias("n"), F.count(F.lit(1)).alias("m")).where("n = m")
+    return found.join(whole.select("doc", "sentence", "at"), ["doc", "sentence", "at"], "left_semi").select("doc", "sentence", "at", "number", "rid")
+
+
+def occurrence_ids(rows: DataFrame, order: str) -> DataFrame:
+    """``occurrence_id``: the citation id, or, where there is none, the source and the row's place among all rows by ``order`` (a number)."""
+    from citeloom.operators.ranking import spread_rank
+
+    placed = spread_rank(rows.withColumns({"all_": F.lit(0), "minus_": -F.col(order)}), "all_", "minus_")
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("doc"))
+    own = F.coalesce(F.nullif("citation_id", F.lit("")), F.concat(source, F.lit(":f2occ"), F.col("rank").cast("string")))
+    return placed.withColumn("occurrence_id", own).drop("all_", "minus_", "rank")
