@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from citeloom.llm._common import small, stage
 from citeloom.llm.language_id import fold
 
-#: Discounts of a word seen once, twice and more often, and of a pair: what is rarer is left to the shared backoff.
-DISCOUNTS, PAIR_DISCOUNT = (0.999, 1.99, 2.0), 2
+#: Discount of words and of pairs in a class: what is no more frequent is wholly left to the shared backoff.
+DISCOUNT = 2
+#: Discount of the continuation counts.
+CONTINUATION = 0.75
 #: Words of the windows whose normalised ratios are compared.
 WINDOWS = (1, 2, 4, 16)
 #: Log ratio from which a word counts as telling.
@@ -139,46 +141,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients[1:] + self.coefficients[0], -30, 30)))
 
 
-def shared_backoff(follows: np.ndarray) -> np.ndarray:
-    """Word probabilities by how many predecessors a word has in both classes (continuation counts)."""
-    least = DISCOUNTS[0] * (follows > 0)
-    return (follows - least + least.sum() / len(follows)) / max(follows.sum(), 1)
-
-
 def evened(seen: list[np.ndarray], left: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Shares of two classes, each scaled so that both leave the larger ``left`` of their masses to the backoff."""
     rest = np.maximum(*left)
     return [x * (1 - rest) / np.maximum(1 - y, 1e-12) for x, y in zip(seen, left, strict=True)], rest
 
 
-def words_models(counts: list[np.ndarray], follows: np.ndarray) -> list[np.ndarray]:
-    """Both classes' word probabilities: discounted shares and, for the rest, the shared backoff."""
-    off = [np.select([c == 0, c == 1, c == 2], [0, *DISCOUNTS[:2]], DISCOUNTS[2]) for c in counts]
-    sums = [max(c.sum(), 1) for c in counts]
-    seen, rest = evened([(c - o) / n for c, o, n in zip(counts, off, sums, strict=True)], [np.asarray(o.sum() / n) for o, n in zip(off, sums, strict=True)])
-    return [x + rest * shared_backoff(follows) for x in seen]
+def words_models(counts: list[np.ndarray], follows: np.ndarray, totals: dict) -> list[np.ndarray]:
+    """Both classes' probabilities of words: discounted shares and, for the rest, the continuation counts of both classes.
+
+    ``totals``: sums over all words, also those that aren't given: of the counts
+    (c0, c1), of what is discounted (d0, d1), of predecessors (follows), and types.
+    """
+    n, off = [max(totals[c], 1) for c in ("c0", "c1")], [totals[d] for d in ("d0", "d1")]
+    seen, rest = evened([np.maximum(c - DISCOUNT, 0) / t for c, t in zip(counts, n, strict=True)], [np.asarray(o / t) for o, t in zip(off, n, strict=True)])
+    # the last share is that of a word that was never seen
+    unseen = CONTINUATION * totals["types"] / (totals["types"] + 1)
+    shared = (np.maximum(follows - CONTINUATION, 0) + unseen) / max(totals["follows"], 1)
+    return [x + rest * shared for x in seen]
 
 
 def learn_models(rows: DataFrame) -> Model | None:
     """Kneser-Ney models of both classes from rows (text, toxic); None if a class has no words.
 
     Pairs of words are discounted and interpolated with the class's words, these
-    with the continuation counts of both classes. A pair seen no more than
-    ``PAIR_DISCOUNT`` times in either class is wholly left to the words, so only
-    the others are kept. The counts cover all rows and stand under full keys in a
-    written table; what is collected and broadcast grows with the distinct words
-    and frequent pairs of labelled rows.
+    with the continuation counts of both classes. A word or pair seen no more
+    than ``DISCOUNT`` times in either class is wholly left to the backoff, where
+    it has a ratio of one (a pair: that of its word), so only the others are
+    kept. The counts cover all rows and stand under full keys in written tables;
+    what is collected and broadcast grows with the frequent words and pairs of
+    labelled rows.
     """
     counted = stage(pair_counts(rows), "pairs")
     sums = [F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1")]
-    words = counted.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("follows")).toArrow().to_pandas().sort_values("w")
-    if not len(words) or not words["c0"].sum() or not words["c1"].sum():
+    words = stage(counted.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("follows")), "words")
+    off = lambda c: F.least(F.col(c), F.lit(DISCOUNT))
+    totals = words.agg(F.sum("c0"), F.sum("c1"), F.sum(off("c0")), F.sum(off("c1")), F.sum("follows"), F.count(F.lit(1))).first()
+    totals = dict(zip(("c0", "c1", "d0", "d1", "follows", "types"), [x or 0 for x in totals], strict=True))
+    if not totals["c0"] or not totals["c1"]:
         return None
+    words = words.where(F.greatest("c0", "c1") > DISCOUNT).toArrow().to_pandas().sort_values("w")
     keys = words["w"].to_numpy()
-    p = words_models([np.append(words[x].to_numpy(), 0).astype(float) for x in ("c0", "c1")], np.append(words["follows"].to_numpy(), 0).astype(float))
-    frequent = counted.where(F.greatest("ordinary", "toxic") > PAIR_DISCOUNT)
-    off = [F.sum(F.least(F.col(c), F.lit(PAIR_DISCOUNT))).alias(n) for c, n in (("ordinary", "d0"), ("toxic", "d1"))]
-    heads = counted.groupBy("v").agg(*sums, *off).join(frequent.select("v").distinct(), "v", "left_semi").toArrow().to_pandas().sort_values("v")
+    # the last entry is for words that aren't kept: both classes give them the same
+    counts, follows = [np.append(words[x].to_numpy(), 0).astype(float) for x in ("c0", "c1")], np.append(words["follows"].to_numpy(), 1).astype(float)
+    p = words_models(counts, follows, totals)
+    frequent = counted.where(F.greatest("ordinary", "toxic") > DISCOUNT)
+    heads = counted.groupBy("v").agg(*sums, F.sum(off("ordinary")).alias("d0"), F.sum(off("toxic")).alias("d1")).join(frequent.select("v").distinct(), "v", "left_semi").toArrow().to_pandas().sort_values("v")
     head_keys = heads["v"].to_numpy()
     t = [np.append(heads[c].to_numpy(), 0).astype(float) for c in ("c0", "c1")]
     left = [np.where(n > 0, np.append(heads[d].to_numpy(), 0) / np.maximum(n, 1), 1.0) for d, n in zip(("d0", "d1"), t, strict=True)]
@@ -190,7 +198,7 @@ def learn_models(rows: DataFrame) -> Model | None:
         for batch in batches:
             v, w, n0, n1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             head, at = places(head_keys, v), places(keys, w)
-            logs = [np.log1p(np.maximum(n - PAIR_DISCOUNT, 0) * x[head] / np.maximum(rest[head] * q[at], 1e-300)) for n, x, q in ((n0, w0, p0), (n1, w1, p1))]
+            logs = [np.log1p(np.maximum(n - DISCOUNT, 0) * x[head] / np.maximum(rest[head] * q[at], 1e-300)) for n, x, q in ((n0, w0, p0), (n1, w1, p1))]
             yield pa.RecordBatch.from_arrays([pa.array(pair_key(v, w), pa.int64()), pa.array((logs[1] - logs[0]).astype(np.float32))], names=["pair", "gain"])
 
     kept = frequent.select("v", "w", "ordinary", "toxic").mapInArrow(gains, "pair long, gain float").toArrow().to_pandas().sort_values("pair")

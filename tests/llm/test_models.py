@@ -130,3 +130,58 @@ def test_toxic_words_and_pairs_keep_counts_of_their_own(spark):
     assert len(model.word_keys) == len(set(kind) | set(rude)) + 1
     v, w = (x.ravel() for x in np.meshgrid(np.arange(1, 2001), np.arange(5000, 7000)))
     assert not model.pair[toxicity.places(model.pair_keys, toxicity.pair_key(v, w))].any()
+
+
+def test_scores_are_the_kernel_with_every_landmark_times_its_coefficients(spark):
+    """The matrix product equals, text by text, the sum over landmarks of the normalised number of shared n-grams."""
+    import numpy as np
+
+    texts = [("a", "the cat sat on the mat"), ("a", "a cat on a mat"), ("b", "der hund und die katze"), ("b", "die katze und der hund im haus")] * 3
+    bits = []
+    for _, t in texts:
+        row = np.zeros(1 << language_id.SPACE_BITS, np.uint8)
+        language_id.mark(row, t)
+        bits.append(np.packbits(row))
+    model = language_id.learn([x for x, _ in texts], np.stack(bits))
+
+    def grams(t):
+        row = np.zeros(1 << language_id.SPACE_BITS, np.uint8)
+        language_id.mark(row, t)
+        return set(np.flatnonzero(row).tolist())
+
+    for t in ("the hund sat", "katze", "zzz"):
+        own = grams(t)
+        by_hand = sum(model.weights[g].astype(float) for g in own) / np.sqrt(max(len(own), 1))
+        assert np.allclose(model.scores([t])[0], by_hand, atol=1e-4)
+    # the presence of a text is that of each of its n-grams, and no other
+    alone = set().union(*[grams(x) for x in ("ab", "bc", "abc")])
+    assert grams("abc") == alone
+
+
+def test_classes_probabilities_sum_to_one_and_rare_words_have_a_ratio_of_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    counts = [rng.integers(0, 9, 50).astype(float), rng.integers(0, 4, 50).astype(float)]
+    follows = rng.integers(1, 6, 50).astype(float)
+    totals = {"c0": counts[0].sum(), "c1": counts[1].sum(), "d0": np.minimum(counts[0], 2).sum(), "d1": np.minimum(counts[1], 2).sum(), "follows": follows.sum(), "types": 50}
+    p = toxicity.words_models([np.append(c, 0) for c in counts], np.append(follows, 0), totals)
+    for x in p:
+        assert x.sum() == pytest.approx(1)
+    rare = np.append((counts[0] <= 2) & (counts[1] <= 2), True)
+    assert np.allclose(p[0][rare], p[1][rare])
+    seen, rest = toxicity.evened([np.asarray([0.5, 0.2]), np.asarray([0.1, 0.6])], [np.asarray(0.3), np.asarray(0.3)])
+    assert [s.sum() + rest for s in seen] == pytest.approx([1, 1])
+
+
+def test_toxicity_of_few_long_and_repeated_rows(spark):
+    rows = [(i, "nice words of a calm day " * 3) for i in range(6)] + [(100 + i, "you idiot and moron " * 3) for i in range(6)]
+    docs = spark.createDataFrame([*rows, rows[0], (900, "calm day " * 200_000), (901, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) + 3
+    by = {r.doc_id: r.score for r in got}
+    assert min(by[i] for i in range(100, 106)) > 0.5 > max(by[i] for i in [*range(6), 900])
+    assert len({r.score for r in got if r.doc_id == 0}) == 1
+    assert toxicity.score(docs.limit(0), model).collect() == []
