@@ -13,12 +13,13 @@ BITS, SEGMENT = 64, 16
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
-    """Signs of the first ``bits`` coordinates as a long; missing, null and NaN coordinates count as not positive."""
+    """Signs of a vector's coordinates as a long; missing, null and NaN ones count as not positive. More than ``bits`` are an error."""
+    wide = F.raise_error(F.concat(F.lit(f"a code of {bits} bits can't hold coordinates: "), F.size(vector).cast("string")))
     ones = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.coalesce((F.get(vector, i) > 0) & ~F.isnan(F.get(vector, i).cast("double")), F.lit(False)))
     number = F.array_join(F.transform(F.reverse(ones), lambda b: b.cast("int").cast("string")), "")
     high = F.conv(F.substring(number, 1, bits - 32), 2, 10).cast("long")
     low = F.conv(F.substring(number, bits - 31, 32), 2, 10).cast("long")
-    return F.when(vector.isNotNull(), F.shiftleft(high, 32).bitwiseOR(low))
+    return F.when(F.size(vector) > bits, wide.cast("long")).when(vector.isNotNull(), F.shiftleft(high, 32).bitwiseOR(low))
 
 
 def segments(code: Column, bits: int, width: int) -> Column:

@@ -158,7 +158,8 @@ def scan(docs: DataFrame, *, scope: int = SCOPE) -> DataFrame:
         by_access.where(kind == opaque).union(by_secret).select("text_key", "w").distinct().groupBy("text_key").agg(F.collect_list("w").alias("linked")),
         "linked",
     )
-    linked = small(linked, linked.count(), 1000)
+    size = linked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("linked")), F.lit(0)).alias("spans")).first()
+    linked = small(linked, size["n"] * 128 + size["spans"] * 48, 1)
     return found.join(linked, "text_key", "left").select("doc_id", "assign", "access", "hex", F.coalesce("linked", none).alias("linked"))
 
 

@@ -70,3 +70,25 @@ def test_language_stage_keeps_long_short_and_mixed_texts_and_all_if_nothing_was_
     assert sorted(r.doc_id for r in step(spark, docs, SF).collect()) == [r[0] for r in rows]
     unnamed = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert step(spark, unnamed, SF).count() == len(rows) + len(gone)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target double, key long"
+
+
+def write(spark, path, rows):
+    spark.createDataFrame([(*r, "clash", 0.5, 7) for r in rows], SCHEMA).write.parquet(str(path / "documents.parquet"))
+    return str(path)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null ids, texts, languages and sources, empty and long texts, repeated rows, columns that the operators use themselves, and no rows."""
+    text = "the calm words of one long and quiet day in the fields"
+    rows = [(i, f"{text} number {i} " * 4, "en", "a" if i % 2 else None, 9) for i in range(8)]
+    rows += [(None, "no id here at all", "en", "a", 1), (20, None, "en", "a", None), (21, "", "en", "b", 0), rows[0], rows[0], (22, "x y " * 100_000, "en", "b", 1), (23, "12 34", None, "b", 1)]
+    out = corpus_pipeline.run(spark, write(spark, tmp_path / "odd", rows)).collect()
+    assert {r.doc_id for r in out} <= {r[0] for r in rows} and 22 in {r.doc_id for r in out}
+    assert max(r.offset + r.length for r in out) <= 1024
+    nothing = corpus_pipeline.run(spark, write(spark, tmp_path / "none", []))
+    assert nothing.collect() == [] and "sequence_id" in nothing.columns
+    unnamed = [(d, t, None, s, n) for d, t, _, s, n in rows if t]
+    assert corpus_pipeline.run(spark, write(spark, tmp_path / "unnamed", unnamed)).count() > 0

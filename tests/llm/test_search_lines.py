@@ -75,3 +75,23 @@ def test_repeats_equal_brute_force_with_blank_one_line_and_common_lines(spark):
     got = {r.doc_id: list(r.dropped) for r in drop_repeats(docs).collect()}
     assert got == want
     assert want[104] and want[105] == [0] and len(want[107]) == 91
+
+
+def test_very_long_texts_and_ties(spark):
+    """A text of many lines that repeat, and two rows of one text under two ids: the smaller id is the first."""
+    long = "\n".join(f"line {i % 3000} of a text with very many lines in it" for i in range(9000))
+    rows = [(5, long), (2, "line 7 of a text with very many lines in it"), (9, "a tie of a line that two rows have, whole"), (8, "a tie of a line that two rows have, whole")]
+    got = {r.doc_id: (r.n_lines, len(r.dropped), list(r.first_ids)) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (9000, 6001, [2, 5]), 2: (1, 0, []), 8: (1, 0, []), 9: (1, 1, [8])}
+
+
+def test_codes_hold_all_coordinates_or_fail(spark):
+    from pyspark.errors import SparkRuntimeException
+    from pyspark.sql import functions as F
+
+    from citeloom.llm.hamming_search import sign_code
+
+    rows = spark.createDataFrame([([1.0] * 64,), ([1.0, -1.0, None],), (None,)], "v array<double>")
+    assert [r[0] for r in rows.select(sign_code(F.col("v"))).collect()] == [-1, 1, None]
+    with __import__("pytest").raises(SparkRuntimeException):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(sign_code(F.col("v"))).collect()
