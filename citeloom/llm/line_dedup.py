@@ -120,7 +120,9 @@ def drop_repeats(docs: DataFrame, *, run_chars: int = RUN_CHARS) -> DataFrame:
     key = F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
     none = F.array().cast("array<int>")
     out = rows.withColumn("row_key", key).join(gone, "row_key", "left").withColumn("dropped", F.coalesce("lines_gone", none))
-    kept = F.filter(F.transform(lines(F.col("body")), lambda x, i: F.when(~F.array_contains(F.col("dropped"), i), x)), lambda x: x.isNotNull())
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines(F.col("body"))) - 1), F.col("dropped"))
+    # the lines are bound once, not split again for every place
+    kept = F.get(F.transform(F.array(lines(F.col("body"))), lambda parts: F.transform(places, lambda i: F.get(parts, i))), 0)
     return out.select(
         "doc_id",
         "text_hash",
