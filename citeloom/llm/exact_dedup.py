@@ -17,6 +17,9 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 
+#: Files of a micro-batch: of a larger table the state is carried from batch to batch.
+FILES_PER_BATCH = 64
+
 #: Rows of a group that are compared with one copy of its kept text in one task's key.
 SALT_ROWS = 1000
 
@@ -36,6 +39,7 @@ def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> Data
     nothing expires. It holds for each digest the least ``(doc_id, locator)``
     and how many rows came. Every micro-batch writes the keys that it changed to
     a folder of its own, so that a batch that is run again replaces its output.
+    The session's state store options are set while the query runs, and restored.
     """
     spark = arrivals.sparkSession
     folder, out, epochs = arrivals.inputFiles()[0].rpartition("/")[0], new_path(spark, "state"), []
@@ -76,7 +80,7 @@ def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> Data
 
 
 def deduplicate(
-    docs: DataFrame, *, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None
+    docs: DataFrame, *, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = FILES_PER_BATCH
 ) -> DataFrame:
     """Find rows whose texts are equal once runs of white space are one blank.
 
