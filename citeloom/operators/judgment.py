@@ -104,16 +104,16 @@ def outcome(e) -> Column:
     value = lambda o, r: F.struct(F.lit(o).alias("outcome"), (F.lit(r) if isinstance(r, str) else r).alias("reason"))
     none = e("n_claims") == 0
     rules = [
-        (F.coalesce(F.trim(e("citation_id")), F.lit("")) == "", "HUMAN_REVIEW", "corrupt_source_record"),
+        (F.coalesce(F.trim(e("citation_id")), F.lit("")) == "", "HUMAN_REVIEW_REQUIRED", "corrupt_source_record"),
         (first.isNotNull(), first, "taxonomy_finding"),
         ((e("input") == "empty") & is_false(e("cited_in_body")), "UNJUDGEABLE", "uncited_reference"),
-        (e("input") == "empty", "HUMAN_REVIEW", "empty_claim_input"),
-        (e("input") != "prose", "HUMAN_REVIEW", "malformed_claim_input"),
+        (e("input") == "empty", "HUMAN_REVIEW_REQUIRED", "empty_claim_input"),
+        (e("input") != "prose", "HUMAN_REVIEW_REQUIRED", "malformed_claim_input"),
         (is_false(e("retrievable")), "UNJUDGEABLE", "cited_text_unavailable"),
         (e("disposition").startswith("excluded_"), "UNJUDGEABLE", F.concat(F.lit("preband_"), e("disposition"))),
         (e("failure").isNotNull(), e("failure_outcome"), e("failure")),
         (none & is_true(e("attested")) & (e("attempts") >= 2), "NONE", "prose_sentence_asserts_nothing_empirical"),
-        (none, "HUMAN_REVIEW", "claim_extraction_empty_after_retry"),
+        (none, "HUMAN_REVIEW_REQUIRED", "claim_extraction_empty_after_retry"),
         (is_true(e("stage_failed")), "UNJUDGEABLE", "stage_failure"),
         (F.size(e("holds")) > 0, "UNJUDGEABLE", F.concat(F.lit("held_"), e("disposition"))),
     ]

@@ -161,8 +161,8 @@ FAILURES = (
 )
 TRIES = {"empty_model_response": (3, True), "malformed_model_response": (3, True), "schema_key_mismatch": (2, False)}
 ENDS = {
-    "empty_model_response": ("HUMAN_REVIEW", "empty_model_response_after_retry"),
-    "malformed_model_response": ("HUMAN_REVIEW", "malformed_model_response_after_retry"),
+    "empty_model_response": ("HUMAN_REVIEW_REQUIRED", "empty_model_response_after_retry"),
+    "malformed_model_response": ("HUMAN_REVIEW_REQUIRED", "malformed_model_response_after_retry"),
     "schema_key_mismatch": ("UNJUDGEABLE", "schema_key_mismatch_after_retry"),
     "invalid_schema": ("UNJUDGEABLE", "invalid_schema_response"),
     "semantic_validation_failure": ("UNJUDGEABLE", "semantic_validation_failure"),
@@ -179,7 +179,7 @@ def parse_failure(message: Column) -> Column:
         bucket.alias("bucket"),
         of(TRIES, 0, 1).alias("tries"),
         of(TRIES, 1, False).alias("longer"),
-        of(ENDS, 0, "HUMAN_REVIEW").alias("outcome"),
+        of(ENDS, 0, "HUMAN_REVIEW_REQUIRED").alias("outcome"),
         of(ENDS, 1, "schema_contract_failure_after_retry").alias("reason"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import folding, names, similarity, text, titles
 from citeloom.operators import decide, matching, scope
-from citeloom.plans.catalog import example
+from citeloom.plans.catalog import example, query, table
 
 TEXT = "id int, a string"
 PAIR = "id int, a string, b string"
@@ -26,6 +26,12 @@ def fold_text(df):
     return df.withColumn("folded", folding.fold_udf("a"))
 
 
+@query("folded_documents", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
+def folded_documents(spark, sf_dir):
+    """The whole table; its texts have no tags, entities, Greek letters or dashes, so that the fold is that of accents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(folding.fold_udf("text")).alias("folded"))
+
+
 @example(
     "fold_charges", TEXT,
     _numbered(["Mn(2+) and Mn2+ or Mn 2+.", "Na+ or Cl-, not Na", "Ca ( 2 + ) channel", "Zn + and A - B", "10-12 and pre-war"]),
@@ -412,13 +418,13 @@ def evidence_tiers(df):
     _numbered(["empty model output", "Unterminated string starting at 4", "JSON keys mismatch: sibling_x", "a key is wrong", "span is not verbatim in its bound section", "content_sha256 does not match stored text", None]),
     "id int, bucket string, tries int, longer boolean, outcome string, reason string",
     _numbered([
-        ("empty_model_response", 3, True, "HUMAN_REVIEW", "empty_model_response_after_retry"),
-        ("malformed_model_response", 3, True, "HUMAN_REVIEW", "malformed_model_response_after_retry"),
+        ("empty_model_response", 3, True, "HUMAN_REVIEW_REQUIRED", "empty_model_response_after_retry"),
+        ("malformed_model_response", 3, True, "HUMAN_REVIEW_REQUIRED", "malformed_model_response_after_retry"),
         ("schema_key_mismatch", 2, False, "UNJUDGEABLE", "schema_key_mismatch_after_retry"),
-        ("unclassified_parse_failure", 1, False, "HUMAN_REVIEW", "schema_contract_failure_after_retry"),
+        ("unclassified_parse_failure", 1, False, "HUMAN_REVIEW_REQUIRED", "schema_contract_failure_after_retry"),
         ("semantic_validation_failure", 1, False, "UNJUDGEABLE", "semantic_validation_failure"),
         ("content_sha256_mismatch", 1, False, "UNJUDGEABLE", "evidence_representation_defect"),
-        ("unclassified_parse_failure", 1, False, "HUMAN_REVIEW", "schema_contract_failure_after_retry"),
+        ("unclassified_parse_failure", 1, False, "HUMAN_REVIEW_REQUIRED", "schema_contract_failure_after_retry"),
     ]),
 )
 def parse_failure_buckets(df):

@@ -297,9 +297,9 @@ _O = {"citation_id": "PMC1:B1", "findings": [], "sentence": "x", "input": "prose
     ])],
     "id int, outcome string, reason string",
     _numbered([
-        ("HUMAN_REVIEW", "corrupt_source_record"), ("F6", "taxonomy_finding"), ("UNJUDGEABLE", "uncited_reference"), ("HUMAN_REVIEW", "empty_claim_input"), ("HUMAN_REVIEW", "malformed_claim_input"),
+        ("HUMAN_REVIEW_REQUIRED", "corrupt_source_record"), ("F6", "taxonomy_finding"), ("UNJUDGEABLE", "uncited_reference"), ("HUMAN_REVIEW_REQUIRED", "empty_claim_input"), ("HUMAN_REVIEW_REQUIRED", "malformed_claim_input"),
         ("UNJUDGEABLE", "cited_text_unavailable"), ("UNJUDGEABLE", "preband_excluded_preband"), ("UNJUDGEABLE", "invalid_schema_response"), ("NONE", "prose_sentence_asserts_nothing_empirical"),
-        ("HUMAN_REVIEW", "claim_extraction_empty_after_retry"), ("UNJUDGEABLE", "stage_failure"), ("UNJUDGEABLE", "held_pending"), ("NONE", "all_wired_stages_ran_no_fault"),
+        ("HUMAN_REVIEW_REQUIRED", "claim_extraction_empty_after_retry"), ("UNJUDGEABLE", "stage_failure"), ("UNJUDGEABLE", "held_pending"), ("NONE", "all_wired_stages_ran_no_fault"),
     ]),
 )
 def record_outcomes(df):

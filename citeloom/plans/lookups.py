@@ -222,31 +222,6 @@ def evidence_bands(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "decide_reference",
-    SQL_SCORE
-    + """SELECT label, count(*) AS n FROM (SELECT CASE WHEN id % 97 = 0 THEN 'F8' WHEN id % 53 = 0 THEN 'unscoreable' WHEN id % 41 = 0 THEN 'same_work' WHEN id % 31 = 0 THEN 'human_review'
-      WHEN NOT (score < 0.85 OR year IS NOT DISTINCT FROM FALSE) THEN 'cleared' WHEN author IS NULL THEN 'human_review' WHEN score >= 0.95 THEN 'cleared' WHEN score >= 0.6 THEN 'F2' ELSE 'human_review' END AS label FROM s) GROUP BY 1""",
-)
-def decide_reference(spark, sf_dir):
-    """The ordered decision on a reference; the first rule that matches wins."""
-    flagged = (F.col("score") < 0.85) | is_false(F.col("year"))
-    label = first_match(
-        [
-            (F.col("id") % 97 == 0, "F8"),
-            (F.col("id") % 53 == 0, "unscoreable"),
-            (F.col("id") % 41 == 0, "same_work"),
-            (F.col("id") % 31 == 0, "human_review"),
-            (~flagged, "cleared"),
-            (F.col("author").isNull(), "human_review"),
-            (F.col("score") >= 0.95, "cleared"),
-            (F.col("score") >= 0.6, "F2"),
-        ],
-        "human_review",
-    )
-    return _scored(spark, sf_dir).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "best_match_margin",
     "SELECT l_partkey AS id, l_suppkey AS best, round(s, 4) AS score, coalesce(s - nxt < 0.05, FALSE) AS ambiguous FROM (SELECT *, row_number() OVER w AS n, lead(s) OVER w AS nxt FROM (SELECT l_partkey, l_suppkey, max(l_extendedprice) / 105000 AS s FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_partkey ORDER BY s DESC, l_suppkey)) WHERE n = 1",
@@ -389,14 +364,6 @@ def study_clusters_all(spark, sf_dir):
     return min_label(rows.select("id").distinct(), edges).select("id", F.col("label").alias("cluster"))
 
 
-@query("inverted_abstract", "SELECT item_id, array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 20000), ' ') AS abstract FROM benchmark")
-def inverted_abstract(spark, sf_dir):
-    """Text from a word's positions, all or nothing over 20 000 words."""
-    inverted = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\\s+")).alias("at", "word")).groupBy("item_id", "word").agg(F.collect_list("at").alias("places"))
-    flat = inverted.select("item_id", "word", F.explode("places").alias("at")).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("all"))
-    return flat.where(F.size("all") <= 20_000).select("item_id", F.array_join(F.transform("all", lambda x: x["word"]), " ").alias("abstract"))
-
-
 @query("json_field_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

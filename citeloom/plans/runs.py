@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeloom.operators import judgment, matching, stages
+from citeloom.operators import judgment, matching, run, stages
 from citeloom.plans.bibliography import PAIRS, TEXT, _numbered, _pair
 from citeloom.plans.catalog import example, query, table
 
@@ -196,3 +196,67 @@ def canonical_json(df):
 def merged_counts(df):
     out = F.map_entries(stages.merged_counts(F.col("x"), F.col("y")))
     return df.withColumn("counts", F.array_join(F.transform(out, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+# ---- whole runs ----
+
+_WORLD = _numbered([
+    _pair({"title": "Early irrigation and yields of barley", "doi": None}, {"title": "Early irrigation and yields of barley", "doi": None}),
+    _pair({"title": "Early irrigation and yields of barley", "doi": None}, {"title": "Galaxy rotation in dwarf clusters", "authors": ["Vera R"], "journal": "Stars", "volume": "9", "pages": "1", "doi": None}),
+    (_pair({"title": "Terraces and soil loss in uplands", "doi": None})[0], None),
+    (_pair({"title": "No such survey was ever made here", "doi": None})[0], None),
+    (_pair({"title": "", "doi": None})[0], None),
+])
+
+
+@example(
+    "references_run", matching.PAIRS, _WORLD,
+    "id int, label string, confidence string, decided_by string",
+    _numbered([
+        ("cleared", "HIGH", "metadata_match"), ("human_review", "MED", "confirm_not_found_human_review"), ("cleared", "MED", "llm_formatting"),
+        ("human_review", "MED", "confirm_not_found_human_review"), ("unscoreable", "HIGH", "unscoreable"),
+    ]),
+)
+def references_run(df):
+    """Five references: right, resolved to another work, dead id of a known title, dead id of an unknown one, and no title."""
+    none, zero = {"pubmed": None, "crossref": None, "openalex": None}, {"pubmed": 0.0, "crossref": 10.0, "openalex": 0.0}
+    rows = [(0, "answered_record", None, none), (1, "answered_record", "fabrication", zero), (2, "answered_absent", "formatting_discrepancy", none), (3, "answered_absent", "fabrication", zero), (4, "answered_absent", None, none)]
+    told = df.sparkSession.createDataFrame([(i, True, f, v, h, None, None, None, False) for i, f, v, h in rows], "id int, has_pmid boolean, fetch string, verdict string, hits map<string,double>, retracted boolean, timing string, doi_status string, searched boolean")
+    return run.references(df, told)
+
+
+_CITES = [
+    ("a1", "Watering raised yields.", "1", "pmid", "1", True), ("a2", "Watering halved weeds.", "2", "pmid", "2", True), ("a3", "Watering may help bees.", "3", "pmid", "3", True), ("a4", "We thank the growers.", "4", "pmid", "4", True),
+    ("a5", "12, 13", "5", "pmid", "5", True), ("a6", None, "6", "pmid", "6", True), ("b1", "Clay holds water.", None, None, None, True), ("b2", "Clay holds water.", "8", "pmid", "8", True), ("b3", "Clay holds water.", "9", "pmid", "9", True),
+    ("b4", "Sand is dry.", "10", "doi", None, True), ("b5", "Peat burns and smells.", "11", "pmid", "11", True), ("b6", "Never cited.", None, None, "12", True), ("b7", " ", None, None, "13", False),
+]
+
+
+@example(
+    "pairs_run", "citation_id string, citance string, value string, kind string, claimed_pmid string, cited_in_body boolean", _CITES,
+    "citation_id string, route string, disposition string, outcome string, reason string",
+    [
+        ("a1", "FULL_COVERAGE", "held_full_coverage_pending_F3_F5_F7", "UNJUDGEABLE", "held_held_full_coverage_pending_F3_F5_F7"),
+        ("a2", "F6_FLAGGED", "predicted", "F6", "taxonomy_finding"),
+        ("a3", "HELD_LOW_CONFIDENCE", "held_insufficient_evidence", "UNJUDGEABLE", "held_held_insufficient_evidence"),
+        ("a4", "NO_CLAIMS", "held_no_atomic_claims", "NONE", "prose_sentence_asserts_nothing_empirical"),
+        ("a5", "NO_CLAIMS", "held_no_atomic_claims", "HUMAN_REVIEW_REQUIRED", "malformed_claim_input"),
+        ("a6", None, "excluded_no_citance", "HUMAN_REVIEW_REQUIRED", "empty_claim_input"),
+        ("b1", None, "excluded_no_cited_pmid", "UNJUDGEABLE", "preband_excluded_no_cited_pmid"),
+        ("b2", None, "excluded_preband_disposition_missing", "UNJUDGEABLE", "preband_excluded_preband_disposition_missing"),
+        ("b3", None, "excluded_preband", "UNJUDGEABLE", "preband_excluded_preband"),
+        ("b4", None, "excluded_preband", "UNJUDGEABLE", "preband_excluded_preband"),
+        ("b5", "F6_FLAGGED", "predicted", "F6", "taxonomy_finding"),
+        ("b6", "HELD_LOW_CONFIDENCE", "held_insufficient_evidence", "UNJUDGEABLE", "held_held_insufficient_evidence"),
+        ("b7", None, "excluded_no_citance", "UNJUDGEABLE", "uncited_reference"),
+    ],
+)
+def pairs_run(df):
+    """Every way out of a run in which only coverage is judged, one pair each."""
+    make = df.sparkSession.createDataFrame
+    labels = make([*[(f"a{i}", "cleared") for i in range(1, 7)], ("b1", "accurate"), ("b3", "human_review"), ("b4", "F2"), ("b5", "same_work"), ("b6", "cleared"), ("b7", "cleared")], "citation_id string, label string")
+    claims = [("Watering raised yields.", 1, None, ["yields rose"]), ("Watering halved weeds.", 1, None, ["weeds halved", "watering was done"]), ("Watering may help bees.", 1, None, ["bees helped"]),
+              ("We thank the growers.", 2, True, []), ("12, 13", 2, True, []), ("Peat burns and smells.", 1, None, ["peat burns", "peat smells"]), ("Never cited.", 1, None, ["x"])]
+    extracted = make(claims, "sentence string, attempts int, attested boolean, claims array<string>")
+    answers = [("1", "yields rose", True), ("2", "weeds halved", False), ("2", "watering was done", True), ("3", "bees helped", None), ("11", "peat burns", None), ("11", "peat smells", False)]
+    return run.pairs(df, labels, extracted, make(answers, "pmid string, claim string, established boolean"))

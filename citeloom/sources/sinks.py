@@ -23,7 +23,7 @@ def split_log(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def blind_queue(pairs: DataFrame, shown: list[str]) -> tuple[DataFrame, DataFrame]:
     """(annotation queue, review queue): only the columns ``shown``, so that nothing decided leaks; reviews are what needs a person."""
-    review = F.coalesce(F.col("outcome") == "HUMAN_REVIEW", F.lit(False))
+    review = F.coalesce(F.col("outcome") == "HUMAN_REVIEW_REQUIRED", F.lit(False))
     return pairs.where(~review).select(*shown), pairs.where(review).select(*shown)
 
 

@@ -18,6 +18,8 @@ def _collect(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupS
     held, size, latest = state.get if state.exists else ([], 0, 0)
     held = list(held)
     for frame in frames:
+        if frame.empty:  # a timeout comes without rows
+            continue
         held += frame["citation_id"].tolist()
         size = max(size, int(frame["group_size"].max()))
         latest = max(latest, int(frame["ts"].max().timestamp() * 1000))

@@ -85,7 +85,7 @@ def test_sinks(spark, tmp_path, corpus):
     first = manifest.first()
     assert found.count() == 3 and first.labels == {"F2": 1, "cleared": 1, "unscoreable": 1} and first.rows_sha256 == other.first().rows_sha256
     assert sinks.dispositions(rows.withColumn("label", F.lit("F2")))[1].first().rows_sha256 != first.rows_sha256
-    queue, review = sinks.blind_queue(rows.withColumn("outcome", F.when(F.col("n") == 2, "HUMAN_REVIEW")), ["citation_id"])
+    queue, review = sinks.blind_queue(rows.withColumn("outcome", F.when(F.col("n") == 2, "HUMAN_REVIEW_REQUIRED")), ["citation_id"])
     assert queue.columns == ["citation_id"] and [r[0] for r in review.collect()] == ["c"]
     held = spark.createDataFrame(sinks.corpus_manifest(spark, str(corpus)).collect())
     (corpus / "PMC70.xml").write_text("changed")
