@@ -97,8 +97,13 @@ g AS (SELECT grp, claim, CASE WHEN covered > 0 THEN 'covered' WHEN judged > 0 TH
 """
 
 
+def _group_rows(spark, sf_dir):
+    """Rows dealt by group once: what is counted by group and claim, or member, is then counted in place."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", bucket().alias("b")).repartition("l_orderkey")
+
+
 def _group_claims(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("b", bucket())
+    rows = _group_rows(spark, sf_dir)
     covered, judged = F.count_if(F.col("b") == "established"), F.count_if(F.col("b") != "unjudged")
     return rows.groupBy(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("claim")).agg(
         first_match([(covered > 0, "covered"), (judged > 0, "uncovered")], "unknown").alias("status"),
@@ -139,7 +144,7 @@ def group_size_distribution(spark, sf_dir):
     FROM m JOIN a ON a.grp = m.grp JOIN s ON s.grp = m.grp""",
 )
 def member_route(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("b", bucket())
+    rows = _group_rows(spark, sf_dir)
     members = rows.groupBy(F.col("l_orderkey").alias("grp"), F.col("l_suppkey").alias("member")).agg(F.collect_set("b").alias("bs"))
     gaps = _group_claims(spark, sf_dir).groupBy("grp").agg(F.count_if(F.col("status") == "uncovered").alias("uncovered"), F.count_if(F.col("status") == "unknown").alias("unknown"))
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
