@@ -71,7 +71,7 @@ def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """``v, w, ordinary, toxic``: how often w follows v in rows (text, toxic) of each class."""
+    """``v, w, ordinary, toxic``: in how many rows (text, toxic) of each class w follows v; a text that repeats itself counts once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -89,6 +89,8 @@ def pair_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 v, w = pairs(text.as_py())
+                once = np.unique(pair_key(v, w), return_index=True)[1]
+                v, w = v[once], w[once]
                 kept.append((v, w, np.full(len(w), bool(toxic))))
                 size += len(w)
                 if size >= CHUNK:
