@@ -96,7 +96,7 @@ def retried_timings(df):
 
 @example(
     "capped_candidates", "claim int, work int", [(1, i) for i in range(7)] + [(2, 9)],
-    "claim int, work int, pool int, truncated boolean", [(1, 0, 7, True), (1, 1, 7, True), (2, 9, 1, False)],
+    "claim int, work int, pool long, truncated boolean", [(1, 0, 7, True), (1, 1, 7, True), (2, 9, 1, False)],
 )
 def capped_candidates(df):
     return cocitation.capped(df, "claim", F.col("work"), cap=2)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeloom.functions import text
 from citeloom.functions.strict import reply_error, strict_error_udf
-from citeloom.operators import joins
+from citeloom.operators import joins, markers
 from citeloom.plans.bibliography import TEXT, _numbered
 from citeloom.plans.catalog import example, query, table
-from citeloom.sources import providers
+from citeloom.sources import articles, providers
 
 _CROSSREF = [
     '{"title": ["Soil", "bacteria"], "author": [{"family": "Roe"}, null, {"name": "Soil Group"}, {"given": "x"}], "issued": {"date-parts": [[2015, 3]]}, "container-title": ["Soil Biology"], "page": "1-9", "DOI": "10.1/ABC", "volume": "7"}',
@@ -173,3 +174,50 @@ def full_accounting(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "cleared").otherwise("F2")
     supplied = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("citation_id")).agg(F.min(status).alias("label"))
     return joins.accounting(expected, supplied).drop("missing_sample", "extra_sample")
+
+
+# ---- articles ----
+
+_REFS = (
+    '<ref id="k1"><element-citation publication-type="journal"><person-group person-group-type="author"><collab>Dune Survey</collab><name><surname>Lind</surname></name></person-group><article-title>Wind</article-title>'
+    "<source>Sand</source><year>1999</year><volume>4</volume><fpage>10</fpage><lpage>12</lpage><pub-id pub-id-type='pmid'>71</pub-id></element-citation></ref>"
+    '<ref id="k2"><mixed-citation publication-type="book"><name><surname>Moor</surname></name><person-group person-group-type="editor"><name><surname>Edit</surname></name></person-group><chapter-title>Rain</chapter-title>'
+    '<year>2001</year> or <year>2003</year><ext-link ext-link-type="doi" xmlns:xlink="x" xlink:href="10.2/r">r</ext-link></mixed-citation></ref>'
+    '<ref id="k3"><element-citation><article-title>Snow</article-title><elocation-id>e9</elocation-id></element-citation></ref>'
+)
+_M = lambda rid, label: f'<xref ref-type="bibr" rid="{rid}">{label}</xref>'
+_PARAGRAPH = f"Dunes move. Wind is strong\n  {_M('k1', '1')}, {_M('k3', '3')} and rain {_M('k2', '2')} weak. Snow again {_M('k3', '3')}."
+_ARTICLE = f"<article><front><article-meta><title-group><article-title>Weather</article-title></title-group></article-meta></front><body><sec><title>Intro</title><p>{_PARAGRAPH}</p></sec></body><back><ref-list>{_REFS}</ref-list></back></article>"
+ARTICLES = [("PMC5", _ARTICLE), ("PMC6", "<article>")]
+
+
+def _read(df):
+    return articles.references(df.select(F.encode("xml", "UTF-8").alias("content"), "source_id"))
+
+
+@example(
+    "article_references", "source_id string, xml string", ARTICLES,
+    "citation_id string, title string, authors string, year int, pages string, claimed_pmid string, publication_type string, is_collab boolean, ext_link string, section string, group_id string, members string, mark int",
+    [
+        ("PMC5:k1", "Wind", "Dune Survey|Lind", 1999, "10-12", "71", "journal", True, None, "Intro", "PMC5:g01", "PMC5:k1|PMC5:k3|PMC5:k2", 0),
+        ("PMC5:k2", "Rain", "Moor", None, None, None, "book", False, "10.2/r", "Intro", "PMC5:g01", "PMC5:k1|PMC5:k3|PMC5:k2", 2),
+        ("PMC5:k3", "Snow", "", None, "e9", None, None, False, None, "Intro", "PMC5:g01", "PMC5:k1|PMC5:k3|PMC5:k2", 1),
+        (None, None, None, None, None, None, None, None, None, None, None, None, None),
+    ],
+)
+def article_references(df):
+    return _read(df).withColumns({"authors": F.array_join("authors", "|"), "members": F.array_join("group_members", "|")})
+
+
+@example(
+    "article_clusters", "source_id string, xml string", ARTICLES,
+    "citation_id string, citance string, places string, run int, style string",
+    [(f"PMC5:{k}", "Wind is strong 1, 3 and rain 2 weak.", "15,18,29", r, "numeric") for k, r in (("k1", 0), ("k2", 1), ("k3", 0))],
+)
+def article_clusters(df):
+    """Marks of the citing sentence with their places, the run that each reference is in, and the document's style."""
+    rows = _read(df).where("citation_id is not null")
+    styles = rows.groupBy("source_id").agg(F.flatten(F.collect_list(F.transform("marks", lambda m: m["text"]))).alias("all"))
+    out = rows.join(styles.select("source_id", text.citation_style(F.col("all")).alias("style")), "source_id")
+    runs = markers.run_numbers(F.col("citance"), F.col("marks"))
+    return out.withColumns({"places": F.array_join(F.transform("marks", lambda m: m["at"].cast("string")), ","), "run": F.get(runs, F.col("mark"))})

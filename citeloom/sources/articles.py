@@ -15,12 +15,13 @@ from citeloom.sources.providers import tagged
 
 REFERENCES = (
     "citation_id string, source_id string, source_title string, ref_ord int, title string, authors array<string>, year int, journal string, "
-    "volume string, pages string, claimed_pmid string, claimed_doi string, publication_type string, citance string, section string, "
-    "group_id string, group_members array<string>, cited_in_body boolean"
+    "volume string, pages string, claimed_pmid string, claimed_doi string, publication_type string, is_collab boolean, ext_link string, "
+    "citance string, section string, group_id string, group_members array<string>, cited_in_body boolean, mark int, marks array<struct<at:int,text:string>>"
 )
 
-_MARK = "\ue000{}\ue001"
-_MARKED = re.compile("\ue000(.*?)\ue001")
+#: A citation mark in a block's text: the ids it cites and what it shows.
+_MARK = "\ue000{}\ue004{}\ue001"
+_MARKED = re.compile("\ue000(.*?)\ue004(.*?)\ue001", re.S)
 #: Stands for a blank that ends no sentence, and for the end of one.
 _GLUE, _CUT = "\ue002", "\ue003"
 _SHORT = re.compile(rf"(?i)((?:^|(?<=\s))(?:{'|'.join(map(re.escape, ABBREVIATIONS))}|[a-z])\.)\s(?=\S)")
@@ -46,18 +47,28 @@ def _first(node: ET.Element, *names: str) -> ET.Element | None:
 
 
 def _marked(node: ET.Element) -> str:
-    """Text of a block with its citation marks' ids in private-use brackets."""
+    """Text of a block with its citation marks in private-use brackets."""
     out = [node.text or ""]
     for child in node:
-        out.append("".join(child.itertext()) if _name(child) != "xref" else "".join(child.itertext()))
-        if _name(child) == "xref" and child.get("ref-type") == "bibr":
-            out.append("".join(_MARK.format(rid) for rid in (child.get("rid") or "").split()))
-        elif _name(child) != "xref":
-            out[-1] = _marked(child)
+        cites = _name(child) == "xref" and child.get("ref-type") == "bibr" and (child.get("rid") or "").strip()
+        out.append(_MARK.format(child.get("rid"), "".join(child.itertext())) if cites else _marked(child))
         out.append(child.tail or "")
     return "".join(out)
 
 
+def _shown(sentence: str) -> tuple[str, list[tuple[list[str], dict]]]:
+    """A sentence as it is read, and its marks: the ids they cite, where they stand and what they show."""
+    pieces, raw, marks = _MARKED.split(sentence), "", []
+    for text, rids, label in zip(pieces[::3], [*pieces[1::3], ""], [*pieces[2::3], ""], strict=True):
+        raw += text
+        if rids:
+            # the place of the label's first character once white space is folded
+            at = len(" ".join((raw + (label.strip()[:1] or "x")).split())) - 1
+            marks.append((rids.split(), {"at": at, "text": " ".join(label.split())}))
+            raw += label
+    return " ".join(raw.split()), marks
+
+
 def _blocks(node: ET.Element, section: str = "") -> Iterator[tuple[str, str]]:
     """Innermost blocks that hold sentences, with the titles of the sections they are in; table rows are units."""
     for child in node:
@@ -81,9 +92,11 @@ def _reference(ref: ET.Element) -> dict:
     hidden = {id(x) for g in editors for x in g.iter()}
     years = {y for x in cite.iter() if _name(x) == "year" for y in re.findall(r"\b(?:1[5-9]|20)\d\d\b", _text(x) or "")}
     first, last = _text(_first(cite, "fpage")), _text(_first(cite, "lpage"))
+    persons = [x for x in cite.iter() if _name(x) in ("surname", "collab", "string-name") and id(x) not in hidden]
+    link = _first(cite, "ext-link")
     return {
         "title": _text(_first(cite, "article-title", "chapter-title", "data-title")),
-        "authors": [_text(x) for x in cite.iter() if _name(x) == "surname" and id(x) not in hidden],
+        "authors": [_text(x) for x in persons if _name(x) != "string-name" or not any(y in persons for y in x.iter() if y is not x)],
         "year": int(years.pop()) if len(years) == 1 else None,
         "journal": _text(_first(cite, "source")),
         "volume": _text(_first(cite, "volume")),
@@ -91,6 +104,8 @@ def _reference(ref: ET.Element) -> dict:
         "claimed_pmid": ids.get("pmid"),
         "claimed_doi": ids.get("doi"),
         "publication_type": cite.get("publication-type"),
+        "is_collab": bool(persons) and _name(persons[0]) == "collab",
+        "ext_link": None if link is None else next((v for k, v in link.attrib.items() if k.endswith("href")), None),
     }
 
 
@@ -98,27 +113,24 @@ def parse_article(content: bytes, source_id: str) -> list[dict]:
     """References of one article, each with the first sentence that cites it."""
     root = ET.fromstring(content)
     body = _first(root, "body")
-    cited: dict[str, tuple[str, str, str, list[str]]] = {}
+    cited: dict[str, dict] = {}
     groups, reached = 0, set()
     for section, text in _blocks(body) if body is not None else ():
         for sentence in sentences(text):
-            rids = list(dict.fromkeys(_MARKED.findall(sentence)))
-            new = [r for r in rids if r not in cited]
-            reached.update(rids)
+            clean, marks = _shown(sentence)
+            place = {rid: i for i, (rids, _) in reversed(list(enumerate(marks))) for rid in rids}
+            new = [r for r in dict.fromkeys(rid for rids, _ in marks for rid in rids) if r not in cited]
+            reached.update(place)
             if new:
                 groups += 1
-                clean = " ".join(_MARKED.sub("", sentence).split())
-                for rid in new:
-                    cited[rid] = (clean, section, f"{source_id}:g{groups:02d}", [f"{source_id}:{r}" for r in new])
+                told = {"citance": clean, "section": section, "group_id": f"{source_id}:g{groups:02d}", "group_members": [f"{source_id}:{r}" for r in new], "marks": [m for _, m in marks]}
+                cited |= {rid: told | {"mark": place[rid]} for rid in new}
     title = _text(_first(root, "article-title"))
     out = []
     for n, ref in enumerate(x for x in root.iter() if _name(x) == "ref"):
         rid = ref.get("id") or str(n + 1)
-        citance, section, group, members = cited.get(rid, (None, None, None, []))
-        out.append(
-            {"citation_id": f"{source_id}:{rid}", "source_id": source_id, "source_title": title, "ref_ord": n + 1, **_reference(ref)}
-            | {"citance": citance, "section": section, "group_id": group, "group_members": members, "cited_in_body": rid in reached}
-        )
+        known = {"citation_id": f"{source_id}:{rid}", "source_id": source_id, "source_title": title, "ref_ord": n + 1, **_reference(ref)}
+        out.append(known | {"group_members": [], "marks": []} | cited.get(rid, {}) | {"cited_in_body": rid in reached})
     return out
 
 
@@ -130,6 +142,15 @@ def read_articles(spark: SparkSession, path: str, ids: list[str] | None = None)
     names = "*" if ids is None else "{" + ",".join(sorted(ids)) + "}" if ids else "-"
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{names}.xml").load(path)
     files = files.withColumn("source_id", F.regexp_extract("path", r"([^/]+)\.xml$", 1))
+    return references(files)
+
+
+def references(files: DataFrame) -> DataFrame:
+    """``REFERENCES`` of articles (content, source_id); one that isn't well-formed gives a row with only its source id.
+
+    ``marks`` are all citation marks of the sentence, ``mark`` the reference's own;
+    ``operators.markers`` tells their runs and which claims belong to them.
+    """
     columns = [c.split()[0] for c in REFERENCES.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,8 +162,9 @@ def read_articles(spark: SparkSession, path: str, ids: list[str] | None = None)
                 except ET.ParseError:
                     rows.append({"source_id": source_id})
             out = pd.DataFrame(rows, columns=columns)
-            out["ref_ord"], out["year"] = out["ref_ord"].astype("Int32"), out["year"].astype("Int32")
-            yield out.astype({c: object for c in columns if c not in ("ref_ord", "year")}).where(lambda d: d.notna(), None)
+            numbers = ("ref_ord", "year", "mark")
+            out = out.astype(dict.fromkeys(numbers, "Int32"))
+            yield out.astype({c: object for c in columns if c not in numbers}).where(lambda d: d.notna(), None)
 
     return files.select("content", "source_id").mapInPandas(parse, REFERENCES)
 
