@@ -51,5 +51,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from citeloom.plans import bibliography, claims, coverage, evidence, groups, later, lookups, records, rules, runs  # noqa: F401
+    from citeloom.plans import bibliography, claims, coverage, evidence, frozen, groups, later, lookups, records, rules, runs  # noqa: F401
 
