@@ -388,7 +388,9 @@ def _astray_links(met: DataFrame, nodes: DataFrame, stars: DataFrame, sets: Data
     members = stage(members, "members")
     # a block of two has been searched from its pivot, unless the pivot was not the best one of the other
     blocks = members.groupBy("pivot").agg(F.count_if("astray").alias("queries")).where("queries > 0").select("pivot")
-    members = members.join(blocks.hint("merge"), "pivot", "left_semi")
+    # written, so that the join reads two shuffles and can split a large block
+    blocks = stage(blocks, "blocks").hint("merge")
+    members = members.join(blocks, "pivot", "left_semi")
     return _tree_links(members.drop("astray"), members.where("astray").drop("astray"), sets, threshold, TREE_SHINGLES)
 
 
