@@ -113,3 +113,35 @@ def test_very_long_texts_link(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[:19_500])), (3, " ".join(long[:8000] + [str(rng.randrange(10**7)) for _ in range(12_000)])), (4, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard_components(docs).collect()) == brute(rows)
+
+
+def test_linked_sets_share_a_key_that_neither_drops():
+    """Families with half of their shingles in common with others: every set drops as many of its commonest keys as its slack."""
+    from collections import Counter
+
+    from citeloom.llm.jaccard_join import group_keys, overlap, size_tops
+
+    rng = np.random.default_rng(7)
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    linked = 0
+    for threshold, n in [(t, n) for t in (0.9, 0.8, 0.7) for n in (6, 9, 11, 14, 20, 33, 60, 150, 400)]:
+        tops, family, common, sets = size_tops(threshold, 1 << 12), [new(n) for _ in range(3)], new(n // 2), []
+        for _ in range(60):
+            own = family[rng.integers(3)].copy()
+            if rng.random() < 0.5:
+                own[: len(common)] = common
+            gone = rng.choice(n, rng.integers(0, max(2, int(n * (1 - threshold) * 1.2))), replace=False)
+            sets.append(np.unique(np.concatenate([np.delete(own, gone[: len(gone) // 2]), new(rng.integers(0, len(gone) - len(gone) // 2 + 1))])))
+        lists = [group_keys(s, threshold, tops) for s in sets]
+        size = Counter(int(k) for own in lists for _, keys in own for k in keys)
+        kept = []
+        for own in lists:
+            met = [(slack, sorted((size[int(k)], int(k)) for k in keys if size[int(k)] > 1)) for slack, keys in own]
+            kept.append({k for slack, ks in met for _, k in ks[: max(len(ks) - max(slack, 0), 0)]})
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = overlap(a, b)
+                if both >= threshold * (len(a) + len(b) - both) - 1e-9 and not np.array_equal(a, b):
+                    linked += 1
+                    assert kept[i] & kept[j]
+    assert linked > 2000
