@@ -21,6 +21,9 @@ CORPORATE = (
 )
 PARTICLES = "al da de del della der di dos du la le van von".split()
 _PARTICLE = "|".join(PARTICLES)
+# A surname with initials, and a body's name written as if it were one.
+PERSON = r"\b[A-Z][A-Za-z'\-]+\s*,?\s+(?:[A-Z]\.?\s*){1,5}\b"
+INVERTED = r"^([A-Z][A-Za-z'\-]+)[ ,]+([A-Z]{1,5})\.?$"
 # Words of a body's name in the same-work rules.
 BODY_WORDS = (
     "group consortium society committee collaborative association panel institute department network investigators task force authority agency "
@@ -83,8 +86,7 @@ def is_implausible(name: Column) -> Column:
 
 def restored_body(written: Column, resolved: Column) -> Column:
     """The resolved body's name that ``Association AD`` inverts: its last word, and the others' initials in order; else null."""
-    shape = r"^([A-Z][A-Za-z'\-]+)[ ,]+([A-Z]{1,5})\.?$"
-    last, initials = F.lower(F.regexp_extract(F.trim(written), shape, 1)), F.lower(F.regexp_extract(F.trim(written), shape, 2))
+    last, initials = F.lower(F.regexp_extract(F.trim(written), INVERTED, 1)), F.lower(F.regexp_extract(F.trim(written), INVERTED, 2))
     parts = lambda r: F.regexp_extract_all(F.coalesce(r, F.lit("")), F.lit(r"[A-Za-z][A-Za-z'\-]*"), F.lit(0))
     of = lambda ws: F.array_join(F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w: F.lower(F.substring(w, 1, 1))), "")
     fits = lambda r: (F.size(parts(r)) >= 2) & (F.lower(F.element_at(parts(r), -1)) == last) & (of(parts(r)) == initials)
@@ -95,7 +97,7 @@ def is_corporate(name: Column, marked: Column) -> Column:
     """A body: marked as one, with a body's word, or of four words that aren't all names."""
     bare = F.coalesce(name, F.lit(""))
     named = F.regexp_extract_all(bare, F.lit(r"[\p{L}][\p{L}'\-]*"), F.lit(0))
-    person = bare.rlike(r"\b[A-Z][A-Za-z'\-]+\s*,?\s+(?:[A-Z]\.?\s*){1,5}\b") | (
+    person = bare.rlike(PERSON) | (
         (F.size(named) >= 2) & F.forall(named, lambda w: w.rlike(r"^\p{Lu}") | F.lower(w).isin(PARTICLES))
     )
     many = F.size(F.regexp_extract_all(bare, F.lit(r"(?U)\b[\w'\-]+\b"), F.lit(0))) >= 4

@@ -114,10 +114,15 @@ def citation_style(markers: Column) -> Column:
 
 # ---- locators ----
 
+# What stands before a DOI, matter after an article's pages, and a range of pages.
+DOI_PREFIX = r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
+AFTER_PAGES = r"\s*;\s*(?:quiz|discussion|author reply|reply|erratum|comment)\b.*$"
+PAGE_RANGE = r"^([a-z]*)(\d+)-([a-z]*)(\d+)(.*)$"
+
 
 def normal_doi(doi: Column) -> Column:
     """Lower case, without resolver or ``doi:``, without closing marks."""
-    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(doi, F.lit("")))), r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(doi, F.lit("")))), DOI_PREFIX, "")
     return F.regexp_replace(bare, "[. ,;)]+$", "")
 
 
@@ -139,7 +144,7 @@ def first_page(pages: Column) -> Column:
 
 
 def _full_segment(segment: Column) -> Column:
-    part = lambda i: F.regexp_extract(segment, r"^([a-z]*)(\d+)-([a-z]*)(\d+)(.*)$", i)
+    part = lambda i: F.regexp_extract(segment, PAGE_RANGE, i)
     low, high, start, end = part(1), part(3), part(2), part(4)
     unit = F.rpad(F.lit("1"), F.length(end) + 1, "0").cast("long")
     first, last = start.cast("long"), end.cast("long")
@@ -156,6 +161,6 @@ def full_pages(pages: Column, *, editorial: bool = True) -> Column:
     """Ranges with elided ends written out (1199-8 is 1199-1208); matter after the article is off; null is empty."""
     x = F.lower(F.trim(F.coalesce(pages, F.lit(""))))
     if editorial:
-        x = F.regexp_replace(x, r"\s*;\s*(?:quiz|discussion|author reply|reply|erratum|comment)\b.*$", "")
+        x = F.regexp_replace(x, AFTER_PAGES, "")
     x = F.regexp_replace(F.regexp_replace(x, f"[{DASHES}]", "-"), r"\s+", "")
     return F.array_join(F.transform(F.split(x, ","), _full_segment), ",")

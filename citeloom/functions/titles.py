@@ -12,6 +12,10 @@ WEAK_WORDS = "a an and as at by for from in of on or the to with paper study ana
 GENERIC_TITLES = ("introduction", "editorial", "preface", "foreword", "conclusion", "discussion", "letter")
 NO_TITLE = ("not available", "no title available", "no title", "title not available", "untitled")
 
+# Prefixes of notices, and of sections or societies that a title may be without.
+NOTICE_PREFIX = r"(?i)^\s*(erratum|corrigendum|correction|retraction)\b[:\-\s]*"
+LEADING_PREFIX = r"^[^.:]{1,80}?[.:]\s+(?=\S)"
+
 # Function words of English and of other languages (same-work rules).
 ENGLISH = (
     "a an the of in on for and or to with from by at as is are was were be been being this that these those its it their his her our your "
@@ -42,7 +46,7 @@ def _text(title: Column) -> Column:
 def normal_title(title: Column) -> Column:
     """Brackets of a translated title and notice prefixes off, folded, charges as words, words only; null is empty."""
     bare = F.regexp_replace(F.trim(_text(title)), r"(?s)^\[(.*)\]\.?$", "$1")
-    own = F.regexp_replace(bare, r"(?i)^\s*(erratum|corrigendum|correction|retraction)\b[:\-\s]*", "")
+    own = F.regexp_replace(bare, NOTICE_PREFIX, "")
     return _worded(fold_charges(fold_udf(own)))
 
 
@@ -66,9 +70,8 @@ def is_distinctive(canonical: Column) -> Column:
 def title_variants(title: Column) -> Column:
     """Normal title, and that without a leading section or society where two words and ten characters are left."""
     whole = normal_title(title)
-    prefix = r"^[^.:]{1,80}?[.:]\s+(?=\S)"
-    rest = normal_title(F.regexp_replace(_text(title), prefix, ""))
-    offered = _text(title).rlike(prefix) & (rest != whole) & (F.length(rest) >= 10) & rest.contains(" ")
+    rest = normal_title(F.regexp_replace(_text(title), LEADING_PREFIX, ""))
+    offered = _text(title).rlike(LEADING_PREFIX) & (rest != whole) & (F.length(rest) >= 10) & rest.contains(" ")
     return F.when(whole == "", F.array().cast("array<string>")).when(offered, F.array(whole, rest)).otherwise(F.array(whole))
 
 
