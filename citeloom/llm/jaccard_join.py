@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.llm._common import connected_components, mark, release, small, stage
 
 #: Least groups of a count vector, shingles of a group, points of a tree node, and shingles of a tree's points (of one that a pivot alone searches).
-GROUPS, PER_GROUP, FANOUT, TREE_SHINGLES, STAR_SHINGLES = 32, 8, 8, 1 << 18, 1 << 16
+GROUPS, PER_GROUP, FANOUT, TREE_SHINGLES, STAR_SHINGLES = 32, 8, 8, 1 << 16, 1 << 13
 #: One group in so many is spare, and dealings of a set into groups.
 SPARE, DEALS = 6, 4
 #: Least size of a size class as a share of its largest.
