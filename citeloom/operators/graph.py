@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _reliable(spark: SparkSession) -> None:
+def reliable(spark: SparkSession) -> None:
     """Lineage is cut in the folder that all executors share; only a local session may have one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -27,7 +27,7 @@ def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     least one; the steps grow with the logarithm of a component's size, and each
     is a grouped minimum and an equi-join on the edges that are left.
     """
-    _reliable(nodes.sparkSession)
+    reliable(nodes.sparkSession)
     turned = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     forest = edges.where("a <> b").select(turned("a", "b").alias("e")).select("e.*").distinct().checkpoint()
     while True:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.operators.graph import reliable
+
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -35,13 +37,19 @@ def spread_rank(df: DataFrame, key: str, by: str, *ties: str, parts: int = 64) -
     """``rank`` (from 1) of each row in its key, the greatest ``by`` first, without one task for a key.
 
     Rows are dealt to stretches of ``by`` between its quantiles in the key; a
-    rank is the rows of the stretches before and the place in the own one.
+    rank is the rows of the stretches before and the place in the own one. The
+    quantiles are approximate and change with the order in which tasks end, so
+    the rows are written once they are dealt: counts and places then read the
+    same stretches. Null keys are a key; null ``by`` and ties come last.
     """
+    reliable(df.sparkSession)
     shares = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(key).agg(F.array_distinct(F.percentile_approx(by, shares, 10_000)).alias("cuts_"))
-    dealt = df.join(cuts, key).withColumn("part_", F.size(F.filter("cuts_", lambda c: c > F.col(by)))).drop("cuts_")
-    counts = dealt.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(key, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    place = F.row_number().over(Window.partitionBy(key, "part_").orderBy(F.desc(by), *ties))
-    return dealt.withColumn("place_", place).join(counts, [key, "part_"]).withColumn("rank", F.col("before_") + F.col("place_")).drop("part_", "place_", "before_")
+    cuts = df.groupBy(F.col(key).alias("key_")).agg(F.array_distinct(F.percentile_approx(by, shares, 10_000)).alias("cuts_"))
+    part = F.when(F.col(by).isNull(), parts).otherwise(F.size(F.filter("cuts_", lambda c: c > F.col(by))))
+    dealt = df.join(cuts, F.col(key).eqNullSafe(F.col("key_"))).withColumn("part_", part).drop("cuts_", "key_").checkpoint()
+    counts = dealt.groupBy(F.col(key).alias("key_"), F.col("part_").alias("of_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("key_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("key_", "of_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy(key, "part_").orderBy(F.desc(by), *map(F.asc_nulls_last, ties)))
+    placed = dealt.withColumn("place_", place).join(counts, F.col(key).eqNullSafe(F.col("key_")) & (F.col("part_") == F.col("of_")))
+    return placed.withColumn("rank", F.col("before_") + F.col("place_")).drop("part_", "place_", "before_", "key_", "of_")

@@ -81,6 +81,22 @@ def test_ranks_over_stretches_equal_one_window(spark):
         assert {r.id: r["rank"] for r in got if r.k == k} == want
 
 
+def test_ranks_hold_where_quantiles_differ_each_time_and_nulls_come_last(spark, monkeypatch):
+    import random
+
+    some = F.udf(lambda vs: sorted(random.SystemRandom().sample(vs, min(len(vs), 7))), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda by, *_: some(F.collect_list(by)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = [("a", i * 7 % 101 / 2, i) for i in range(300)] + [(None, float(i), i) for i in range(9)] + [("b", None, 1), ("c", None, 2), ("c", 1.0, 3), ("c", 1.0, None)]
+        got = spread_rank(spark.createDataFrame(rows, "k string, v double, id int"), "k", "v", "id", parts=8).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    last = lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, r[2] or 0)
+    want = [(*r, n) for k in ("a", "b", "c", None) for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=last), 1)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize(("text", "want"), [("Caf&eacute; <i>β</i>–x ﬁn", "Cafe  beta -x fin"), ("", "")])
 def test_fold(text, want):
     assert folding.fold(text) == want
