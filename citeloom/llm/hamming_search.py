@@ -72,7 +72,8 @@ def search(
             "q", "edge", F.col("s.segment").alias("segment"), F.explode(F.transform("masks", lambda m: F.col("s.value").bitwiseXOR(m))).alias("value")
         )
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")
-        met = probes.join(small(index, n_entries * n_segments, 48), ["segment", "value"]).select("q", "edge", "code", "held", distance)
+        # Spark takes probes for as few as the codes they come from, and would broadcast them
+        met = probes.join(small(index.hint("merge"), n_entries * n_segments, 48), ["segment", "value"]).select("q", "edge", "code", "held", distance)
         met = met.where("distance <= edge").drop("edge").distinct()
         if best is not None:
             met = met.union(best.join(open_codes.select(F.col("code").alias("q")), "q", "left_semi")).distinct()

@@ -23,6 +23,23 @@ def test_search_equals_brute_force(spark):
     assert len(search(rows.where("id in (20, 40)"), rows.where("id = 20"), 5).collect()) == 1
 
 
+def test_probes_are_not_broadcast_where_the_index_is_large(spark, monkeypatch):
+    from citeloom.llm import _common, hamming_search
+
+    plans, staged = [], hamming_search.stage
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(hamming_search, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    rng = random.Random(6)
+    codes = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(150)]
+    rows = spark.createDataFrame(codes, "id long, code long")
+    got = search(rows, rows.where("id % 50 = 0"), 3).collect()
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    want = [(q, i, d, n + 1) for q, qc in codes if q % 50 == 0 for n, (d, i) in enumerate(sorted((far(qc, c), i) for i, c in codes if i != q)[:3])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any("SortMergeJoin [segment" in p for p in plans)
+    assert not any("BroadcastHashJoin [segment" in p for p in plans)
+
+
 def test_long_repeated_runs_go_and_the_first_stays(spark):
     rng = random.Random(8)
     line = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(3, 9) + str(rng.randrange(10**6)) for _ in range(6))
