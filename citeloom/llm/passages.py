@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,12 @@ from citeloom.llm.jaccard_join import FLUSH_ROWS, _mixed, _words
 
 #: Words of a shingle, least words of a passage, least Jaccard similarity of two.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
-#: Hash functions, shingles of context on one side that two windows must share in the later ones, and step of the first one's stretches.
-HASHES, CONTEXT, STEP = 3, 10, 5
+#: Shingles of the run that near copies share at least (see ``window_keys``), of context on one side of its minimum, and step of the stretches of whole passages.
+RUN, CONTEXT, STEP = 21, 10, 5
 #: Shingles of the documents that are verified against one other in a task's cell.
 CELL_SHINGLES = 1 << 17
+#: Parts that the pairs beyond the first holders are dealt to, to be compared in rounds.
+SHARES = 64
 
 #: Base of the polynomial hash of a stretch of shingles.
 BASE = 0xD6E8FEB86659FD93
@@ -123,30 +126,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["base"][:n], _powers["back"][:n]
 
 
-def window_keys(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of every hash function: key, reach to the left and right of the centre, number of context keys, and these.
+def window_keys(h: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Windows of both hash functions: key, centre, reach to the left and right of it, number of context keys, and these.
 
     A key stands for function and minimum. The context keys of the first function
     hash stretches of ``least - STEP + 1`` shingles in the window, the centre in
     them, starting every ``STEP`` shingles: any run of ``least`` shingles that
     two texts share gives both the window's key and one of these. Those of the
-    other functions hash the centre and ``CONTEXT`` shingles to its left, or right.
+    second one hash the centre and ``CONTEXT`` shingles to its left, or right, so
+    that any run of ``RUN`` shingles that two texts share gives both one of these.
+
+    Near copies share such a run. A word that is changed, put in or left out takes
+    at least 9 shingles from the two of them, a piece that is moved 8, and they may
+    lack a quarter of what they share, which is 41 or more of 46: so 41 to 63 are
+    in two pieces at most, 64 to 95 in three, and so on; the longest has 21.
     """
     base, back = powers(len(h))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * base, dtype=np.uint64)])
     span = least - STEP
     before = np.asarray([*range(0, span, STEP), span])
-    shapes = [(before, span - before)] + [(np.asarray([CONTEXT, 0]), np.asarray([0, CONTEXT]))] * (HASHES - 1)
-    out: tuple[list, ...] = ([], [], [], [], [])
-    for i, (a, b) in enumerate(shapes):
+    shapes = [(least, before, span - before), (RUN, np.asarray([CONTEXT, 0]), np.asarray([0, CONTEXT]))]
+    out: tuple[list, ...] = ([], [], [], [], [], [])
+    for i, (run, a, b) in enumerate(shapes):
         values = _mixed(h ^ _SEEDS[i])
-        left, centre, right = np.asarray(compact_windows(values, least), np.int64).T
+        left, centre, right = np.asarray(compact_windows(values, run), np.int64).T
         key, low, high = _mixed(values[centre] + np.uint64(i)), centre - left, right - centre
         fits = (low[:, None] >= a) & (high[:, None] >= b)
         row, shape = np.nonzero(fits)
         start, end = centre[row] - a[shape], centre[row] + b[shape] + 1
         context = _mixed((sums[end] - sums[start]) * back[start] + key[row] + shape.astype(np.uint64))
-        for column, x in zip(out, (key, low, high, fits.sum(1), context), strict=True):
+        for column, x in zip(out, (key, centre, low, high, fits.sum(1), context), strict=True):
             column.append(x)
     return tuple(map(np.concatenate, out))
 
@@ -157,11 +166,11 @@ def _nested(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _windowed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, h1, h2`` and the windows of every hash function as arrays."""
+    """``doc_id, n_words, h1, h2`` and the windows of both hash functions as arrays."""
     least = LEAST_WORDS - SHINGLE + 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
+        none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
         for batch in batches:
             for at in range(0, batch.num_rows, FLUSH_ROWS):
                 some = batch.slice(at, FLUSH_ROWS)
@@ -173,16 +182,16 @@ def _windowed(docs: DataFrame) -> DataFrame:
                     h1.append(int(_mixed(h ^ place).sum(dtype=np.uint64).astype(np.int64)))
                     h2.append(int(_mixed(h + _mixed(place)).sum(dtype=np.uint64).astype(np.int64)))
                     found.append(window_keys(h, least) if len(h) >= least else none)
-                keys, low, high, sizes, contexts = zip(*found, strict=True)
+                keys, centre, low, high, sizes, contexts = zip(*found, strict=True)
                 inner = pa.ListArray.from_arrays(
                     pa.array(np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]), dtype=np.int32)), pa.array(np.concatenate(contexts).view(np.int64))
                 )
                 outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)], dtype=np.int32)), inner)
                 numbers = [pa.array(x, pa.int64()) for x in (n, h1, h2)]
-                lists = [_nested([x.view(np.int64) for x in keys], pa.int64()), _nested(list(low), pa.int32()), _nested(list(high), pa.int32()), outer]
-                yield pa.RecordBatch.from_arrays([some.column(0), *numbers, *lists], names=["doc_id", "n_words", "h1", "h2", "key", "low", "high", "context"])
+                lists = [_nested([x.view(np.int64) for x in keys], pa.int64()), *[_nested(list(x), pa.int32()) for x in (centre, low, high)], outer]
+                yield pa.RecordBatch.from_arrays([some.column(0), *numbers, *lists], names=["doc_id", "n_words", "h1", "h2", "key", "centre", "low", "high", "context"])
 
-    return docs.mapInArrow(make, "doc_id long, n_words long, h1 long, h2 long, key array<long>, low array<int>, high array<int>, context array<array<long>>")
+    return docs.mapInArrow(make, "doc_id long, n_words long, h1 long, h2 long, key array<long>, centre array<int>, low array<int>, high array<int>, context array<array<long>>")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +225,15 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first_upto``: words ``at`` to ``upto`` (exclusive) and their counterpart in
     a document of a smaller id.
 
-    Each of ``HASHES`` functions cuts a document into compact windows. Windows
-    whose function and minimum two documents share are told apart by what
-    surrounds the centre (see ``window_keys``), and each joins the window of the
-    smallest doc_id with the same surroundings, where the two intervals can hold
-    a common passage of enough shingles; the documents are then compared on
-    their shingles. So a hot passage gives a row for each document that has it,
-    never pairs within them, and a passage that is identical to an earlier one
-    is compared with a document that has all of it but ``STEP - 1`` words.
+    Two functions cut a document into compact windows. Windows whose function and
+    minimum two documents share are told apart by what surrounds the centre (see
+    ``window_keys``), and each joins the window of the smallest doc_id with the
+    same surroundings, where the two intervals can hold a common run of ``RUN``
+    shingles; the documents are then compared on their shingles. A centre that no
+    passage found so far covers is compared with every earlier document that has
+    its surroundings, in rounds that leave out what the last one has covered. So
+    a hot passage gives a row for each document that has it, and pairs within
+    them only where copies differ.
 
     Rows with a null id are not compared. Of an id that repeats with different
     texts, the text with the larger hash stands for it. No rows give no rows.
@@ -241,23 +251,49 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = stage(members, "members")
 
     singles = rows.where(F.size("key") > 0).join(copies, ["n_words", "h1", "h2"], "left").where("doc_id is not null and (rep is null or rep = doc_id)")
-    windows = singles.select("doc_id", F.explode(F.arrays_zip("key", "low", "high", "context")).alias("w")).select("doc_id", "w.*")
+    windows = singles.select("doc_id", F.explode(F.arrays_zip("key", "centre", "low", "high", "context")).alias("w")).select("doc_id", "w.*")
     multi = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
     multi = stage(multi, "multi").hint("merge")
-    shared = windows.join(multi, "key", "left_semi").select("doc_id", "low", "high", F.explode("context").alias("context"))
+    shared = windows.join(multi, "key", "left_semi").select("doc_id", "centre", "low", "high", F.explode("context").alias("context"))
     shared = stage(shared, "shared")
     # written, so that a hot key is combined before its shuffle and the join can split it
     pivots = shared.groupBy("context").agg(F.min(F.struct("doc_id", "low", "high")).alias("p"), F.max("doc_id").alias("last"))
     pivots = stage(pivots.where("p.doc_id < last").select("context", "p"), "pivots").hint("merge")
-    least = SIMILARITY * (LEAST_WORDS - SHINGLE + 1)
     common = F.least(F.col("low"), F.col("p.low")) + F.least(F.col("high"), F.col("p.high")) + 1
-    met = shared.join(pivots, "context").where((F.col("doc_id") != F.col("p.doc_id")) & (common >= least))
+    met = shared.join(pivots, "context").where((F.col("doc_id") != F.col("p.doc_id")) & (common >= RUN))
     met = stage(met.select("doc_id", F.col("p.doc_id").alias("first")).distinct(), "met")
     ids = stage(met.select("doc_id").union(met.select("first")).distinct(), "ids")
-    release(since, met, ids, slim)
+    release(since, met, ids, slim, shared, pivots)
     found = stage(_compared(own, slim, met, ids), "passages")
-    release(since, slim, found)
-    return slim, found
+
+    parts = [found]
+    rest = stage(_others(shared, pivots, found).join(met, ["doc_id", "first"], "left_anti"), "rest")
+    release(since, slim, rest, *parts)
+    # few first: in a large family most documents need no more
+    for low, high in ((0, 1), (1, 8), (8, SHARES)):
+        some = rest.where(f"share >= {low} and share < {high}")
+        pairs = stage(_bare(some, parts).select("doc_id", "first").distinct(), "pairs")
+        ids = stage(pairs.select("doc_id").union(pairs.select("first")).distinct(), "ids")
+        parts.append(stage(_compared(own, slim, pairs, ids), "passages"))
+    release(since, slim, *parts)
+    return slim, reduce(DataFrame.union, parts)
+
+
+def _bare(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, centre) that no passage of ``parts`` covers."""
+    spans = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_set(F.struct("at", "upto")).alias("spans"))
+    covered = F.exists("spans", lambda s: (s["at"] <= F.col("centre")) & (F.col("centre") < s["upto"]))
+    return rows.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).drop("spans")
+
+
+def _others(shared: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, centre, first, share``: earlier documents with the same surroundings of a centre that no passage of ``found`` covers."""
+    # written, so that a join can split a hot key
+    bare = stage(_bare(shared.join(pivots.select("context"), "context", "left_semi"), [found]), "bare")
+    every = shared.select("context", F.col("doc_id").alias("first"), F.col("low").alias("first_low"), F.col("high").alias("first_high"))
+    common = F.least("low", "first_low") + F.least("high", "first_high") + 1
+    pairs = bare.join(every.hint("merge"), "context").where((F.col("first") < F.col("doc_id")) & (common >= RUN))
+    return pairs.select("doc_id", "centre", "first", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SHARES)).alias("share")).distinct()
 
 
 def _compared(docs: DataFrame, members: DataFrame, met: DataFrame, ids: DataFrame) -> DataFrame:

@@ -136,3 +136,24 @@ def test_very_long_and_repeated_texts(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[29_000:29_060])), (3, " ".join(["na"] * 20_000)), (4, " ".join(["na"] * 5_000))]
     got = {r.doc_id: r.first_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
     assert got == {2: 1, 4: 3}
+
+
+def test_every_near_copy_is_found_also_behind_other_holders_of_its_words(spark):
+    rng = random.Random(24)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(3000))
+    filler = lambda: [word() for _ in range(rng.randrange(60))]
+    rows, want = [], set()
+    for i in range(250):
+        base = [word() for _ in range(rng.randrange(50, 75))]
+        own = list(base)
+        at = rng.randrange(len(base))
+        own[at : at + 1] = rng.choice([[word()], [], [base[at], word()]]) if len(base) > 52 else [word()]
+        pieces = [base[a : a + 30] for a in (0, 10, 20, len(base) - 30)] if i % 2 else []
+        texts = [*pieces, base, own]
+        for n, text in enumerate(texts):
+            rows.append((10 * i + n, " ".join(filler() + text + filler())))
+        if len(own) >= 50 and similar(base, own):
+            want.add(10 * i + len(texts) - 1)
+    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    assert len(want) > 200
+    assert sorted(want - got) == []
