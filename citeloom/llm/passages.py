@@ -74,17 +74,21 @@ def _padded(own: np.ndarray, other: np.ndarray, a: int, b: int, shift: int, leas
     return None
 
 
-def matches(own: np.ndarray, other: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
+def matches(own: np.ndarray, other: np.ndarray, least: int, similarity: float, order: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Passages of ``own`` that are near-duplicates of passages of ``other``: (start, end, start, end) in shingles.
 
     Shingles of the other text are marked; marked runs are joined over short
     gaps as long as the marks stay dense, and each stretch is then verified by
     the Jaccard similarity of its shingles and those of its counterpart.
+    ``order``: that of ``other``, if it is known.
     """
-    order = np.argsort(other, kind="stable")
+    if order is None:
+        order = np.argsort(other, kind="stable")
     at = np.searchsorted(other, own, sorter=order)
     hit = at < len(other)
     hit[hit] = other[order[at[hit]]] == own[hit]
+    if np.count_nonzero(hit) < 2 * similarity / (1 + similarity) * similarity * least:
+        return []
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     runs = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
     joined: list[list[int]] = []
@@ -197,20 +201,26 @@ def _windowed(docs: DataFrame) -> DataFrame:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (first, tile, own, doc_id, text), each first document before those that are compared with it, to passages."""
     least = LEAST_WORDS - SHINGLE + 1
-    cell, other = None, None
+    cell, other, order = None, None, None
+    # texts that are compared with many others, up to 8 * CELL_SHINGLES of their shingles
+    known, held = {}, 0
     names = ["doc_id", "at", "upto", "first_id", "first_at", "first_upto"]
     for batch in batches:
         out = []
         for first, tile, own, doc_id, text in zip(*batch.columns, strict=True):
             first = first.as_py()
-            h = sequence(text.as_py())[1]
+            doc_id = doc_id.as_py()
+            if (h := known.get(doc_id)) is None:
+                h = sequence(text.as_py())[1]
+                if held > 8 * CELL_SHINGLES:
+                    known, held = {}, 0
+                known[doc_id], held = h, held + len(h)
             if not own.as_py():
-                cell, other = (first, tile.as_py()), h
+                cell, other, order = (first, tile.as_py()), h, np.argsort(h, kind="stable")
                 continue
             if cell != (first, tile.as_py()):
                 raise ValueError("a cell has no first document")
-            doc_id = doc_id.as_py()
-            out += [(doc_id, a, b + SHINGLE - 1, first, c, d + SHINGLE - 1) for a, b, c, d in matches(h, other, least, SIMILARITY)]
+            out += [(doc_id, a, b + SHINGLE - 1, first, c, d + SHINGLE - 1) for a, b, c, d in matches(h, other, least, SIMILARITY, order)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 

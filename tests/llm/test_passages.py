@@ -157,3 +157,16 @@ def test_every_near_copy_is_found_also_behind_other_holders_of_its_words(spark):
     got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
     assert len(want) > 200
     assert sorted(want - got) == []
+
+
+def test_a_known_order_of_the_other_text_changes_no_match():
+    from citeloom.llm.passages import matches
+
+    rng = np.random.default_rng(6)
+    for shared in (31, 33, 40, 41, 60, 120):
+        passage = rng.integers(0, 40 if shared == 120 else 2**32, shared)
+        own = np.concatenate([rng.integers(2**34, 2**35, 30), passage, rng.integers(2**34, 2**35, 20)])
+        other = np.concatenate([rng.integers(2**35, 2**36, 9), passage, rng.integers(2**35, 2**36, 50)])
+        found = matches(own, other, 46, 0.8, np.argsort(other, kind="stable"))
+        assert found == matches(own, other, 46, 0.8)
+        assert bool(found) == (shared >= 41)
