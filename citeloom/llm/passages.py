@@ -19,8 +19,8 @@ SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
 RUN, CONTEXT, STEP = 21, 10, 5
 #: Shingles of the documents that are verified against one other in a task's cell.
 CELL_SHINGLES = 1 << 17
-#: Parts that the pairs beyond the first holders are dealt to, to be compared in rounds.
-SHARES = 64
+#: Rows of a context beyond which its centres meet only documents that are alike around them, shingles looked at on either side of a centre, and those more of a holder, and holders in a cell.
+HOT, AROUND, SLACK, HOLDERS = 32, 64, 16, 2048
 
 #: Base of the polynomial hash of a stretch of shingles.
 BASE = 0xD6E8FEB86659FD93
@@ -241,9 +241,10 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same surroundings, where the two intervals can hold a common run of ``RUN``
     shingles; the documents are then compared on their shingles. A centre that no
     passage found so far covers is compared with every earlier document that has
-    its surroundings, in rounds that leave out what the last one has covered. So
-    a hot passage gives a row for each document that has it, and pairs within
-    them only where copies differ.
+    its surroundings. Where those are many, the shingles around the centre tell in
+    each holder's cell which of them is alike there, and only the first of these is
+    compared; where that leaves the centre bare, all of them are. So documents that
+    share a line of fewer words make no pairs, and a hot passage a row for each that has it.
 
     Rows with a null id are not compared. Of an id that repeats with different
     texts, the text with the larger hash stands for it. No rows give no rows.
@@ -277,12 +278,16 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stage(_compared(own, slim, met, ids), "passages")
 
     parts = [found]
-    rest = stage(_others(shared, pivots, found).join(met, ["doc_id", "first"], "left_anti"), "rest")
-    release(since, slim, rest, *parts)
-    # few first: in a large family most documents need no more
-    for low, high in ((0, 1), (1, 8), (8, SHARES)):
-        some = rest.where(f"share >= {low} and share < {high}")
-        pairs = stage(_bare(some, parts).select("doc_id", "first").distinct(), "pairs")
+    cold, hot = _others(own, slim, shared, pivots, found)
+    release(since, met, slim, cold, hot, *parts)
+    # of the hot contexts first: in a large family most documents need no more than one other
+    done = met
+    for every in (False, True):
+        some = _alike(_bare(hot.where("bare").drop("bare"), parts), hot, every).select("doc_id", "first")
+        if every:
+            some = some.union(_bare(cold, parts).select("doc_id", "first"))
+        pairs = stage(some.distinct().join(done, ["doc_id", "first"], "left_anti"), "pairs")
+        done = done.union(pairs)
         ids = stage(pairs.select("doc_id").union(pairs.select("first")).distinct(), "ids")
         parts.append(stage(_compared(own, slim, pairs, ids), "passages"))
     release(since, slim, *parts)
@@ -296,21 +301,195 @@ def _bare(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return rows.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).drop("spans")
 
 
-def _others(shared: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id, centre, first, share``: earlier documents with the same surroundings of a centre that no passage of ``found`` covers."""
+def _others(docs: DataFrame, members: DataFrame, shared: DataFrame, pivots: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has the surroundings of a centre that no passage of ``found`` covers.
+
+    For contexts of up to ``HOT`` rows ``doc_id, centre, first``, every earlier
+    document; for the others the holders themselves: ``context, doc_id, centre,
+    bare, at, around``, the shingles around the centre and its place there.
+    """
     # written, so that a join can split a hot key
     bare = stage(_bare(shared.join(pivots.select("context"), "context", "left_semi"), [found]), "bare")
+    many = shared.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    many = stage(many.join(bare.select("context"), "context", "left_semi").select("context"), "many")
+    many = small(many, many.count(), 32)
     every = shared.select("context", F.col("doc_id").alias("first"), F.col("low").alias("first_low"), F.col("high").alias("first_high"))
     common = F.least("low", "first_low") + F.least("high", "first_high") + 1
-    pairs = bare.join(every.hint("merge"), "context").where((F.col("first") < F.col("doc_id")) & (common >= RUN))
-    return pairs.select("doc_id", "centre", "first", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SHARES)).alias("share")).distinct()
-
+    few = bare.join(many, "context", "left_anti")
+    pairs = few.join(every.hint("merge"), "context").where((F.col("first") < F.col("doc_id")) & (common >= RUN))
+    cold = stage(pairs.select("doc_id", "centre", "first").distinct(), "cold")
+
+    holders = shared.join(many, "context").select("context", "doc_id", "centre").distinct()
+    open_ = bare.join(many, "context", "left_semi").select("doc_id", "centre", F.lit(True).alias("bare")).distinct()
+    holders = holders.join(open_, ["doc_id", "centre"], "left").withColumn("bare", F.coalesce("bare", F.lit(False)))
+    places = stage(holders.groupBy("doc_id").agg(F.collect_list(F.struct("context", "centre", "bare")).alias("places")), "places")
+    texts = _texts(docs, members, places.select("doc_id"))
+    hot = places.join(texts, "doc_id").select("doc_id", "text", "places")
+    return cold, stage(hot.mapInArrow(_around, "context long, doc_id long, centre int, bare boolean, at int, around binary"), "hot")
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles around each place of a text, as 32 bits of their hashes, and the centre's place among them."""
+    side = AROUND + SLACK
+    names = ["context", "doc_id", "centre", "bare", "at", "around"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
+    for batch in batches:
+        for doc_id, text, places in zip(*batch.columns, strict=True):
+            doc_id, h = doc_id.as_py(), sequence(text.as_py())[1].astype(np.uint32)
+            out = []
+            # bare centres so near that their contexts overlap lie in one run, which a passage has or has not;
+            # of the others those stand for the holder that the slack doesn't reach
+            last: dict[int, int] = {}
+            kept: dict[int, int] = {}
+            for c, context, bare in sorted((x["centre"], x["context"], x["bare"]) for x in places.as_py()):
+                # of an id with several texts only one is compared
+                if c >= len(h):
+                    continue
+                new = bare and c - last.get(context, -side) > CONTEXT
+                if bare:
+                    last[context] = c
+                if new or c - kept.get(context, -side) > SLACK:
+                    out.append((context, doc_id, c, new, min(c, side), h[max(0, c - side) : c + side + 1].tobytes()))
+                    kept[context] = c
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _reach(hit: np.ndarray) -> np.ndarray:
+    """Of every row the last hit that is reached from the first column over gaps that ``matches`` joins."""
+    at = np.arange(hit.shape[1])
+    last = np.maximum.accumulate(np.where(hit, at, 0), axis=1)
+    broken = hit[:, 1:] & (at[1:] - last[:, :-1] > 2 * SHINGLE + 1)
+    # an end, so that every row has a stop
+    stop = np.concatenate([broken, np.ones((len(hit), 1), bool)], axis=1).argmax(axis=1)
+    return last[np.arange(len(hit)), stop]
+
+
+def _can_pad(own: np.ndarray, a: int, b: int, shared: int, least: int) -> bool:
+    """If a stretch shorter than ``least`` with so many different shared shingles can be similar enough with changed ones at its edges."""
+    starts = range(max(0, b - least), min(a, len(own) - least) + 1)
+    return any(shared >= SIMILARITY * len(np.unique(own[p : p + least])) for p in starts)
+
+
+class Holders:
+    """Documents that have the same context, in the order of their ids, with the shingles around it."""
+
+    def __init__(self, ids: list[int], around: list[np.ndarray]):
+        self.ids, self.around = np.asarray(ids, np.int64), around
+        values = np.concatenate(around)
+        order = np.argsort(values, kind="stable")
+        self.values, self.rows = values[order], np.repeat(np.arange(len(ids)), [len(x) for x in around])[order]
+
+    def _rows(self, left: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.rows[np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
+    def alike(self, doc_id: int, at: int, around: np.ndarray, every: bool, named: set[int]) -> list[int]:
+        """Earlier documents with a passage like one of ``around`` that holds the place ``at``: the first, or every one.
+
+        Those that may have a passage that goes beyond ``around`` are told too: two if there is no such document before, or every one,
+        and those ``named`` before are not looked at again.
+        Passages have 33 shared shingles at least (41, if no shingle repeats), so one of
+        those that remain without the 32 that most of the holders have.
+        """
+        least = LEAST_WORDS - SHINGLE + 1
+        weak = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * SIMILARITY * least))
+        before = int(np.searchsorted(self.ids, doc_id))
+        low = max(0, at - AROUND)
+        own, c = around[low : at + AROUND + 1], at - low
+        if not before or len(own) < weak:
+            return []
+        u, back = np.unique(own, return_inverse=True)
+        left = np.searchsorted(self.values, u)
+        n = np.searchsorted(self.values, u, side="right") - left
+        rare = np.unique(back[np.argsort(n[back], kind="stable")[: len(own) - weak + 1]])
+        some = np.unique(self._rows(left[rare], n[rare]))
+        some = some[some < before]
+        if not len(some):
+            return []
+        place = np.full(len(self.ids), -1)
+        place[some] = np.arange(len(some))
+        row, column = place[self._rows(left, n)], np.repeat(np.arange(len(u)), n)
+        has = np.zeros((len(some), len(u)), bool)
+        has[row[row >= 0], column[row >= 0]] = True
+        need = weak if len(u) < len(own) else int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * least))
+        far, sure, padded = [], [], {}
+        for start in range(0, len(some), 256):
+            hit = has[start : start + 256][:, back]
+            first, last = c - _reach(hit[:, c::-1]), c + _reach(hit[:, c:])
+            total = np.concatenate([np.zeros((len(hit), 1), int), np.cumsum(hit, axis=1)], axis=1)
+            row = np.arange(len(hit))
+            hits = total[row, last + 1] - total[row, first]
+            beyond = ((first <= 2 * SHINGLE) & (at > AROUND)) | ((last >= len(own) - 1 - 2 * SHINGLE) & (len(around) > at + AROUND + 1))
+            for i in np.flatnonzero(hit[:, c] & (beyond | (hits >= need)) & (last - first >= SIMILARITY * least - 1)).tolist():
+                other = some[start + i]
+                if not every and len(far) > 1:
+                    return far
+                if (first_id := int(self.ids[other])) in named:
+                    far.append(first_id)
+                    continue
+                if not beyond[i] and last[i] - first[i] + 1 < least:
+                    p, q = int(first[i]), int(last[i]) + 1
+                    if (shape := (p, hit[i, p:q].tobytes())) not in padded:
+                        padded[shape] = _can_pad(own, p, q, len(np.unique(back[p:q][hit[i, p:q]])), least)
+                    if not padded[shape]:
+                        continue
+                if any(a <= c < b for a, b, _, _ in matches(own, self.around[other], least, SIMILARITY)):
+                    sure.append(first_id)
+                    if not every:
+                        return sure
+                elif beyond[i]:
+                    far.append(first_id)
+                    named.add(first_id)
+        return sure + far
+
+
+def _alike(bare: DataFrame, hot: DataFrame, every: bool) -> DataFrame:
+    """``doc_id, centre, first``: what the ``bare`` rows of ``hot`` are alike to, in cells of a context's holders."""
 
-def _compared(docs: DataFrame, members: DataFrame, met: DataFrame, ids: DataFrame) -> DataFrame:
-    """Passages of the pairs ``met`` (doc_id, first); a first document is read once for every ``CELL_SHINGLES`` of the others."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, around, held, whose, named = None, [], [], None, None, set()
+        for batch in batches:
+            out = []
+            for context, tile, own, doc_id, centre, at, near in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if cell != (context, tile):
+                    cell, ids, around, held, whose = (context, tile), [], [], None, None
+                near = np.frombuffer(near, np.uint32)
+                if not own:
+                    ids.append(doc_id)
+                    around.append(near)
+                elif ids:
+                    held = held or Holders(ids, around)
+                    if whose != doc_id:
+                        whose, named = doc_id, set()
+                    out += [(doc_id, centre, x) for x in held.alike(doc_id, at, near, every, named)]
+            if out:
+                d, c, f = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.array(f, pa.int64())], names=["doc_id", "centre", "first"])
+
+    hot = hot.join(bare.select("context").distinct(), "context", "left_semi")
+    large = hot.groupBy("context").agg(F.ceil(F.count(F.lit(1)) / HOLDERS).cast("int").alias("tiles")).where("tiles > 1")
+    large = stage(large, "large")
+    large = small(large, large.count(), 32)
+    hot, bare = (x.join(large, "context", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))) for x in (hot, bare))
+    holders = hot.select("context", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int").alias("tile"), F.lit(False).alias("own"), "doc_id", "centre", "at", "around")
+    tiles = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
+    rows = holders.union(bare.select("context", tiles, F.lit(True).alias("own"), "doc_id", "centre", "at", "around"))
+    n_parts = max(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (64 * HOLDERS)))
+    rows = rows.repartition(n_parts, "context", "tile").sortWithinPartitions("context", "tile", "own", "doc_id")
+    return rows.mapInArrow(make, "doc_id long, centre int, first long")
+
+
+def _texts(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids``; of an id with several texts the one with the largest hash."""
     texts = docs.join(small(ids, ids.count(), 16), "doc_id", "left_semi")
     if members.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         texts = texts.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    return texts
+
+
+def _compared(docs: DataFrame, members: DataFrame, met: DataFrame, ids: DataFrame) -> DataFrame:
+    """Passages of the pairs ``met`` (doc_id, first); a first document is read once for every ``CELL_SHINGLES`` of the others."""
+    texts = _texts(docs, members, ids)
     sizes = members.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_words").alias("n"))
     pairs = met.join(sizes, "doc_id")
     tiles = pairs.groupBy("first").agg(F.greatest(F.ceil(F.sum("n") / CELL_SHINGLES), F.lit(1)).cast("int").alias("tiles"))

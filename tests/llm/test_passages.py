@@ -170,3 +170,44 @@ def test_a_known_order_of_the_other_text_changes_no_match():
         found = matches(own, other, 46, 0.8, np.argsort(other, kind="stable"))
         assert found == matches(own, other, 46, 0.8)
         assert bool(found) == (shared >= 41)
+
+
+def test_a_line_that_many_documents_share_makes_no_pairs_and_hides_no_near_copy(spark, monkeypatch):
+    from citeloom.llm import passages
+
+    rng = random.Random(25)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(3000))
+    some = lambda n: [word() for _ in range(n)]
+    line = some(32)
+    rows, want = [], set()
+    for i in range(150):
+        before, after = some(60), some(60)
+        rows.append((10 * i, " ".join(before + line + after)))
+        if i % 10 == 3:
+            # near copies of what an earlier document has around the line
+            own = before[-12:] + line + after[:12]
+            own[4] = word()
+            rows.append((10 * i + 5, " ".join(some(30) + own + some(30))))
+            want.add(10 * i + 5)
+    compared = []
+    inner = passages._compared
+
+    def counted(docs, members, met, ids):
+        compared.append(met.count())
+        return inner(docs, members, met, ids)
+
+    monkeypatch.setattr(passages, "_compared", counted)
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))[1]
+    assert {r.doc_id for r in found.collect()} == want
+    assert sum(compared) <= 3 * len(rows)
+
+
+def test_reach_goes_over_short_gaps_only():
+    from citeloom.llm.passages import _reach
+
+    hit = np.zeros((3, 40), bool)
+    hit[:, 0] = True
+    hit[1, [11, 22]] = True
+    hit[2, [11, 23, 24]] = True
+    assert _reach(hit).tolist() == [0, 22, 11]
+    assert _reach(hit[:, :1]).tolist() == [0, 0, 0]
