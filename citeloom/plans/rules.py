@@ -139,20 +139,10 @@ def word_alignment(spark, sf_dir):
 
 @query("word_alignment_sentences")
 def word_alignment_sentences(spark, sf_dir):
-    """Best sentence of all documents for every item by word Jaccard, ties to the first document and sentence; too slow as SQL.
-
-    Sentences with the same words are compared once, for the first of them.
-    """
+    """Best sentence of all documents for every item by word Jaccard, ties to the first document and sentence; too slow as SQL."""
     from citeloom.functions.text import words
-    from citeloom.sources.articles import sentences
-
-    cut = F.udf(lambda x: sentences(x or ""), "array<string>")
-    every = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.posexplode(cut("text")).alias("at", "sentence"))
-    every = every.select("doc_id", "at", F.array_sort(words(F.col("sentence"))).alias("w")).where(F.size("w") > 0)
-    kept = every.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("first", F.size("w").alias("s_size"), F.explode("w").alias("word"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("iw")).select("item_id", F.size("iw").alias("size"), F.explode("iw").alias("word"))
-    both = kept.join(items, "word").groupBy("item_id", "first", "size", "s_size").agg(F.count(F.lit(1)).alias("both"))
-    # the best of an item is folded as a maximum, so no item's pairs are sorted in one task
-    j = F.col("both") / (F.col("size") + F.col("s_size") - F.col("both"))
-    best = both.groupBy("item_id").agg(F.max(F.struct(j.alias("j"), (-F.col("first.doc_id")).alias("d"), (-F.col("first.at")).alias("a"))).alias("x"))
-    return best.select("item_id", (-F.col("x.d")).alias("doc_id"), (-F.col("x.a")).alias("sentence"), F.round("x.j", 6).alias("jaccard"))
+    from citeloom.operators.alignment import best_sentences
+
+    items = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("words"))
+    best = best_sentences(table(spark, sf_dir, "documents"), items)
+    return best.select("item_id", "doc_id", "sentence", F.round("score", 6).alias("jaccard"))
